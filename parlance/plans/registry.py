@@ -29,11 +29,65 @@ def load_all() -> None:
     from . import q_corpus, q_text, q_entities, q_reports, q_vectors, q_clusters, q_features, q_streams  # noqa: F401
 
 
+ROUND_PLACES = 6
+
+
+def _rounded(fn: QueryFn) -> QueryFn:
+    """Round DOUBLE/FLOAT output columns to 6 places, as the SQL twin does (summation order
+    differs between engines; 6 places hides it)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        cols = [F.round(F.col(f"`{f.name}`"), ROUND_PLACES).alias(f.name)
+                if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
+                for f in df.schema.fields]
+        return df.select(*cols)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     load_all()
-    return dict(QUERIES)
+    return {k: _rounded(v) for k, v in QUERIES.items()}
+
+
+def _describe_connection(sf_dir: str):
+    import os
+
+    import duckdb
+    from ..sources.tables import TABLES
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _round_sql(con, sql: str) -> str:
+    """Wrap a SQL twin so that its DOUBLE/FLOAT columns are rounded to 6 places (binding only)."""
+    try:
+        desc = con.execute(f"DESCRIBE ({sql})").fetchall()
+    except Exception:  # noqa: BLE001 — keep the plain statement if it cannot be bound here
+        return sql
+    cols = []
+    for name, typ, *_ in desc:
+        q = '"' + name.replace('"', '""') + '"'
+        cols.append(f"round({q}, {ROUND_PLACES}) AS {q}" if typ in ("DOUBLE", "FLOAT") else q)
+    return f"SELECT {', '.join(cols)} FROM (\n{sql}\n) AS q"
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(sf_dir: str = "/root/testdata/sf0.001") -> dict[str, str]:
     load_all()
-    return {k: v() for k, v in ORACLES.items()}
+    try:
+        con = _describe_connection(sf_dir)
+    except Exception:  # noqa: BLE001
+        con = None
+    out = {}
+    for k, v in ORACLES.items():
+        sql = v()
+        out[k] = _round_sql(con, sql) if con is not None else sql
+    return out

@@ -80,6 +80,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("emb"), (F.col("user_id") % 4).cast("string")).alias("embedder"),
         F.col("event_type").alias("algorithm"),
         (F.col("value") / 1000).alias("time"),
+        (eid % 11 != 0).alias("success"),
         (eid % 6 + 2).cast("long").alias("n_clusters"),
         (eid % 3 == 0).alias("has_outliers"),
         (eid % 50 + 10).cast("long").alias("tweets"),
@@ -97,7 +98,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESULT_ROWS_SQL = """SELECT 'daily' AS frequency, strftime(ts, '%Y-%m-%d') AS tag,
   'emb' || CAST(user_id % 4 AS VARCHAR) AS embedder, event_type AS algorithm,
-  value / 1000 AS time, CAST(event_id % 6 + 2 AS BIGINT) AS n_clusters, (event_id % 3 = 0) AS has_outliers,
+  value / 1000 AS time, (event_id % 11 <> 0) AS success, CAST(event_id % 6 + 2 AS BIGINT) AS n_clusters, (event_id % 3 = 0) AS has_outliers,
   CAST(event_id % 50 + 10 AS BIGINT) AS tweets, CAST(event_id % 40 + 10 AS BIGINT) AS valid_tweets,
   CAST(event_id % 10 AS BIGINT) AS outliers, (event_id % 100) / 100 AS noise_percentage,
   (event_id % 50 + 10) / (event_id % 6 + 2) AS avg_cluster_size,
