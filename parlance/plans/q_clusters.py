@@ -1 +1,78 @@
-"""Queries (registered)."""
+"""Clustering queries (J1–J8, K4 on k-means centres)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..clustering import kmeans as KM
+from ..clustering.dbscan import dbscan, dbscan_sql
+from ..clustering.density import density_cuts, density_cuts_sql
+from ..sources import tables as S
+from .q_vectors import CENT_SQL, V, _pts
+from .registry import query
+
+
+@query("j1_kmeans")
+def j1_kmeans(spark, sf_dir):
+    """k = 5, fixed seed; (id, label) of every point."""
+    labels, _ = KM.kmeans(_pts(spark, sf_dir).drop("label"), 5)
+    return labels.select("id", "label")
+
+
+@query("j1_assign_to_centres", lambda: f"""WITH v AS ({V}), {CENT_SQL}
+SELECT doc_id AS id, CAST(arg_min(ca.label, list_distance(v.features, ca.cen) ^ 2) AS INTEGER) AS label
+FROM v, ca GROUP BY doc_id""")
+def j1_assign_to_centres(spark, sf_dir):
+    """The assignment step of J1 with given centres (the label centroids): nearest centre per point."""
+    from ..operators.quality import centroids
+    pts = _pts(spark, sf_dir)
+    cents = centroids(pts).select(F.col("label").alias("centre"), "centroid")
+    return KM.nearest_centre(pts.drop("label"), cents, []).select("id", F.col("label").cast("int"))
+
+
+@query("j2_kmeans_auto_k")
+def j2_kmeans_auto_k(spark, sf_dir):
+    """K in 2..5 fitted together, exact silhouette per k, best k kept."""
+    chosen, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"), block_size=256)
+    return chosen
+
+
+@query("j2_k_table")
+def j2_k_table(spark, sf_dir):
+    """Silhouette and inertia for each k (the experiment table)."""
+    _, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"), block_size=256)
+    return table.select("k", "silhouette", "inertia")
+
+
+@query("j3_kmeans_without_noise")
+def j3_kmeans_without_noise(spark, sf_dir):
+    return KM.kmeans_without_noise(_pts(spark, sf_dir).drop("label"), 5)
+
+
+@query("j4_minibatch_kmeans")
+def j4_minibatch_kmeans(spark, sf_dir):
+    labels, _ = KM.minibatch_kmeans(_pts(spark, sf_dir).drop("label"), 5)
+    return labels.select("id", "label")
+
+
+@query("j5_bisecting")
+def j5_bisecting(spark, sf_dir):
+    return KM.bisecting(_pts(spark, sf_dir).drop("label"), k=2)
+
+
+@query("j6_dbscan_by_label_group", lambda: " UNION ALL ".join(
+    f"SELECT {g} AS grp, * FROM ({dbscan_sql(f'SELECT doc_id, features FROM ({V}) WHERE label % 2 = {g}', 1.15, 5)})"
+    for g in (0, 1)))
+def j6_dbscan_by_label_group(spark, sf_dir):
+    """J6 run for several groups in one job (group = label parity plays the tag)."""
+    pts = _pts(spark, sf_dir).withColumn("grp", (F.col("label") % 2).cast("int"))
+    return dbscan(pts, 1.15, 5, ["grp"], block_size=128)
+
+
+EPS_LIST = (1.10, 1.15, 1.20)
+
+
+@query("j8_density_cuts", lambda: density_cuts_sql(V, EPS_LIST, 5))
+def j8_density_cuts(spark, sf_dir):
+    """J8 (re-aimed OPTICS): DBSCAN* clusters at several eps′ at once (eps′ is a group key)."""
+    return density_cuts(_pts(spark, sf_dir), EPS_LIST, 5, block_size=256)
