@@ -77,12 +77,10 @@ def knn(points: DataFrame, k: int = 1, group_cols: Sequence[str] = (), metric: s
 
 
 def sorted_curve(dist: DataFrame, value_col: str = "distance") -> DataFrame:
-    """values sorted ascending with their 0-based position (range-partitioned sort, then
-    ``zipWithIndex`` — offsets per partition, no single-partition window)."""
-    spark = dist.sparkSession
-    sorted_df = dist.select(value_col).orderBy(value_col)
-    indexed = sorted_df.rdd.zipWithIndex().map(lambda t: (int(t[1]), float(t[0][0])))
-    return spark.createDataFrame(indexed, f"position long, {value_col} double")
+    """values sorted ascending with their 0-based position (range partitions + per-partition
+    offsets — no single-partition window)."""
+    from .order import with_positions
+    return with_positions(dist.select(value_col), [value_col]).select("position", value_col)
 
 
 # ---- C10 pairs within eps, and the counts / forests DBSCAN needs ----------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut the lineage of an iterative step by writing it as a parquet table under the shared
+    checkpoint folder and reading it back (never a local checkpoint): the result survives the loss
+    of an executor, and its size statistics come from the files — a ``checkpoint()``ed frame would
+    carry the size estimate of its whole origin plan forward, which grows without bound over many
+    iterations of joins."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -36,7 +36,11 @@ def _created_at(doc_id: Column) -> Column:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` seen as posts: id, full_text, screen_name, city_tag, lang, created_at."""
-    d = table(spark, sf_dir, "documents")
+    return posts_from(table(spark, sf_dir, "documents"))
+
+
+def posts_from(d: DataFrame) -> DataFrame:
+    """The posts mapping of a documents frame (batch or stream)."""
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("full_text"),
@@ -110,7 +114,10 @@ FROM events"""
 
 def day_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as per-day entity occurrences: (tag, entity_type, item)."""
-    e = table(spark, sf_dir, "events")
+    return day_sets_from(table(spark, sf_dir, "events"))
+
+
+def day_sets_from(e: DataFrame) -> DataFrame:
     return e.select(F.date_format("ts", "yyyy-MM-dd").alias("tag"),
                     F.col("event_type").alias("entity_type"),
                     F.col("user_id").cast("string").alias("item"))
