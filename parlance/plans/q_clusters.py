@@ -76,3 +76,41 @@ EPS_LIST = (1.10, 1.15, 1.20)
 def j8_density_cuts(spark, sf_dir):
     """J8 (re-aimed OPTICS): DBSCAN* clusters at several eps′ at once (eps′ is a group key)."""
     return density_cuts(_pts(spark, sf_dir), EPS_LIST, 5, block_size=256)
+
+
+@query("j7_core_distances", lambda: f"""WITH v AS ({V})
+SELECT id, max(distance) AS core FROM (
+  SELECT a.doc_id AS id, list_distance(a.features, b.features) AS distance,
+    row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.features, b.features), b.doc_id) AS rn
+  FROM v a JOIN v b ON a.doc_id <> b.doc_id) WHERE rn <= 4 GROUP BY id""")
+def j7_core_distances(spark, sf_dir):
+    """J7 step 1: core distance with min_samples 5 (self counted)."""
+    from ..clustering.hdbscan import core_distances
+    return core_distances(_pts(spark, sf_dir).drop("label"), 5, block_size=256)
+
+
+@query("j7_mst")
+def j7_mst(spark, sf_dir):
+    """J7 step 2: minimum spanning tree of the mutual-reachability graph (Borůvka rounds)."""
+    from ..clustering.hdbscan import mst
+    return mst(_pts(spark, sf_dir).drop("label"), 5, block_size=256)
+
+
+@query("j7_hdbscan_flat")
+def j7_hdbscan_flat(spark, sf_dir):
+    from ..clustering.hdbscan import hdbscan_flat
+    return hdbscan_flat(_pts(spark, sf_dir).drop("label"), min_cluster_size=5, block_size=256)
+
+
+@query("p2_cluster_tags")
+def p2_cluster_tags(spark, sf_dir):
+    """Every weekly tag × embedder × algorithm clustered, scored and summarised in one pass."""
+    from .cluster_tags import cluster_tags
+    return cluster_tags(spark, sf_dir)["rows"]
+
+
+@query("p2_cluster_themes")
+def p2_cluster_themes(spark, sf_dir):
+    """P2 side outputs: cluster themes (F2) per combination and cluster."""
+    from .cluster_tags import cluster_tags
+    return cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["themes"]
