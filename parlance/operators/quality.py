@@ -73,7 +73,7 @@ def silhouette_points(points: DataFrame, group_cols: Sequence[str] = (), metric:
     sums = partial.groupBy(*gcols, "id", "other").agg(F.sum("sum_d").alias("sum_d"), F.sum("cnt").alias("cnt"))
     own = pts.select(*gcols, "id", F.col("label").alias("own"))
     per = sums.join(own, [*gcols, "id"])
-    mean = F.col("sum_d") / F.col("cnt")
+    mean = F.when(F.col("cnt") > 0, F.col("sum_d") / F.col("cnt"))
     agg = per.groupBy(*gcols, "id").agg(
         F.max(F.when(F.col("other") == F.col("own"), mean)).alias("a"),
         F.max(F.when(F.col("other") == F.col("own"), F.col("cnt"))).alias("own_others"),

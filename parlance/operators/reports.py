@@ -104,7 +104,7 @@ def consolidated(results: DataFrame, frequency: str) -> DataFrame:
     """Mean silhouette, valid entries, weighted = sil·valid / max(valid); best first."""
     g = group_metrics(of_frequency(results, frequency), ["sil_score", "valid_entries"])
     g = with_global(g, F.max, "valid_entries", "_max_valid")
-    g = g.withColumn("weighted_score", F.col("sil_score") * F.col("valid_entries") / F.col("_max_valid"))
+    g = g.withColumn("weighted_score", F.try_divide(F.col("sil_score") * F.col("valid_entries"), F.col("_max_valid")))
     return g.drop("_max_valid").orderBy(F.desc_nulls_last("weighted_score"), F.desc_nulls_last("sil_score"), *KEYS)
 
 
@@ -116,7 +116,7 @@ def three_averages(results: DataFrame, frequency: str, weighted: bool = False, p
     if weighted:
         g = with_global(g, F.max, "valid_entries", "_max_valid")
         for m in ("sil_score", "db_score", "ch_score"):
-            g = g.withColumn(m, F.col(m) * F.col("valid_entries") / F.col("_max_valid"))
+            g = g.withColumn(m, F.try_divide(F.col(m) * F.col("valid_entries"), F.col("_max_valid")))
         g = g.drop("_max_valid")
     else:
         g = g.drop("valid_entries")
