@@ -17,8 +17,9 @@ from . import kmeans as KM
 ClusterFn = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def _kmeans(points, group_cols, k=5):
-    labels, _ = KM.kmeans(points, k, group_cols)
+def _kmeans(points, group_cols, ks=(2, 3, 4, 5)):
+    """K-means with k chosen per group by the exact silhouette (k in 2..5)."""
+    labels, _ = KM.kmeans_auto_k(points, group_cols, ks)
     return labels.select(*group_cols, "id", "label")
 
 
@@ -31,9 +32,15 @@ def _hdbscan(points, group_cols, min_cluster_size=5):
     return hdbscan_flat(points, min_cluster_size=min_cluster_size, group_cols=group_cols)
 
 
+def _meanshift(points, group_cols):
+    from .meanshift import mean_shift
+    return mean_shift(points, group_cols)
+
+
 def registry() -> dict[str, ClusterFn]:
     return {
         "K-Means": _kmeans,
+        "Mean-Shift": _meanshift,
         "DBSCAN": _dbscan,
         "HDBSCAN": _hdbscan,
     }

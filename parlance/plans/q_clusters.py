@@ -114,3 +114,17 @@ def p2_cluster_themes(spark, sf_dir):
     """P2 side outputs: cluster themes (F2) per combination and cluster."""
     from .cluster_tags import cluster_tags
     return cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["themes"]
+
+
+@query("j9_mean_shift")
+def j9_mean_shift(spark, sf_dir):
+    """Flat-kernel mean-shift, every point a seed, bandwidth estimated (quantile 0.3)."""
+    from ..clustering.meanshift import mean_shift
+    return mean_shift(_pts(spark, sf_dir).drop("label"), block_size=256)
+
+
+@query("j9_mean_shift_not_all")
+def j9_mean_shift_not_all(spark, sf_dir):
+    """J9 with ``cluster_all = False``: points outside the bandwidth of every mode are noise."""
+    from ..clustering.meanshift import mean_shift
+    return mean_shift(_pts(spark, sf_dir).drop("label"), cluster_all=False, block_size=256)

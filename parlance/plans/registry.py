@@ -26,7 +26,7 @@ def query(name: str, sql: Callable[[], str] | str | None = None):
 
 def load_all() -> None:
     """Import every query module so that they register themselves."""
-    from . import q_corpus, q_text, q_entities, q_reports, q_vectors, q_clusters, q_features, q_streams  # noqa: F401
+    from . import q_corpus, q_text, q_entities, q_reports, q_vectors, q_clusters, q_features, q_streams, q_more  # noqa: F401
 
 
 ROUND_PLACES = 6
