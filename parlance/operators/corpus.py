@@ -74,10 +74,19 @@ def posts_by_tag(posts: DataFrame, dates: DataFrame, city: str) -> DataFrame:
     return sel.select("frequency", "tag", "full_text").dropDuplicates(["frequency", "tag", "full_text"])
 
 
+def nonempty(col) -> "F.Column":
+    """Generator keeping a computed string only when it is non-empty.
+
+    A ``where(length(x) > 0)`` on a computed column would be pushed below the projection with the
+    whole expression inlined — evaluated twice, the first time before any repartition.  Exploding a
+    filtered one-element array filters without a pushable predicate."""
+    return F.explode(F.filter(F.array(col), lambda s: F.length(s) > 0))
+
+
 def clean_corpus(df: DataFrame, text_col: str, key_cols=(), out_col: str = "text") -> DataFrame:
     """H7 → G1 → B6: cleaned text, distinct per key, non-empty."""
-    cleaned = df.select(*key_cols, T.clean_v2(text_col).alias(out_col))
-    return cleaned.where(F.length(out_col) > 0).dropDuplicates([*key_cols, out_col])
+    cleaned = df.select(*key_cols, nonempty(T.clean_v2(text_col)).alias(out_col))
+    return cleaned.dropDuplicates([*key_cols, out_col])
 
 
 def search_term_filter(posts: DataFrame, terms: Iterable[str], lang: str, text_col: str = "full_text",

@@ -135,7 +135,7 @@ def b5_city_modes(spark, sf_dir):
 FROM posts) WHERE length(text) > 0""")
 def b6_nonempty_clean(spark, sf_dir):
     p = S.posts(spark, sf_dir)
-    return p.select("id", T.clean_v2("full_text").alias("text")).where(F.length("text") > 0)
+    return p.select("id", K.nonempty(T.clean_v2("full_text")).alias("text"))
 
 
 @query("b14_search_terms", lambda: P + """SELECT id FROM posts

@@ -58,9 +58,9 @@ def d19_arg_best(spark, sf_dir):
 @query("f12_top_words", lambda: _counts_sql(3, 0.85) + """,
 w AS (SELECT c.doc_id, c.term, c.count * (ln((1 + vocab.n) / (1 + vocab.df)) + 1) AS w FROM c JOIN vocab USING (term)),
 x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w),
-t AS (SELECT d.lang AS topic, x.term, sum(x.tfidf) AS weight FROM x JOIN documents d USING (doc_id) GROUP BY ALL)
+tw AS (SELECT d.lang AS topic, x.term, sum(x.tfidf) AS weight FROM x JOIN documents d USING (doc_id) GROUP BY ALL)
 SELECT topic, CAST(rank AS INTEGER) AS rank, term, weight FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM t) WHERE rank <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM tw) WHERE rank <= 10""")
 def f12_top_words(spark, sf_dir):
     """top 10 terms per topic by weight (language plays the topic, summed TF-IDF the weight)."""
     from ..operators.topics import top_words

@@ -77,3 +77,36 @@ def test_knn_excludes_self(spark):
     df = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [3.0])], "id long, features array<double>")
     got = {(r["id"], r["neighbour"]) for r in knn(df, k=1, block_size=1).collect()}
     assert got == {(0, 1), (1, 0), (2, 1)}
+
+
+def test_mean_shift_finds_blobs(spark):
+    from parlance.clustering.meanshift import mean_shift
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, 0.2, size=(15, 2)) for c in ([0, 0], [6, 0], [0, 6])])
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "id long, features array<double>")
+    got = {r["id"]: r["label"] for r in mean_shift(df, bandwidth=1.5, block_size=16).collect()}
+    groups = [{got[i] for i in range(k * 15, (k + 1) * 15)} for k in range(3)]
+    assert all(len(g) == 1 for g in groups)
+    assert len(set.union(*groups)) == 3
+
+
+def test_nearest_place_matches_brute_force(spark):
+    from parlance.operators.geo import EARTH_RADIUS_KM, nearest_place
+    rng = np.random.default_rng(4)
+    pts = [(i, float(rng.uniform(-80, 80)), float(rng.uniform(-180, 180))) for i in range(300)]
+    places = [(j, float(rng.uniform(-85, 85)), float(rng.uniform(-180, 180))) for j in range(30)]
+
+    def hav(a, b):
+        p1, p2 = np.radians(a[0]), np.radians(b[0])
+        dphi, dl = p2 - p1, np.radians(b[1] - a[1])
+        h = np.sin(dphi / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
+        return 2 * EARTH_RADIUS_KM * np.arcsin(min(1.0, np.sqrt(h)))
+    want = {}
+    for i, la, lo in pts:
+        best = min(((hav((la, lo), (pla, plo)), j) for j, pla, plo in places), default=None)
+        if best and best[0] <= 1500:
+            want[i] = best[1]
+    p = spark.createDataFrame(pts, "pid long, lat double, lon double")
+    q = spark.createDataFrame(places, "place_id long, lat double, lon double")
+    got = {r["pid"]: r["place_id"] for r in nearest_place(p, q, 1500.0).collect()}
+    assert got == want
