@@ -27,6 +27,23 @@ EMBEDDER_SHORT_NAMES = {
 }
 
 
+TIE_NUDGE = 1e-7  # in units of the last kept place: far below display precision, far above float noise
+
+
+def np_round(c, places: int):
+    """Round like NumPy / pandas ``.round(n)`` (scale, round half to even, unscale).  Exact decimal ties
+    — whose side depends on the binary representation in NumPy too — are nudged up, so engines that
+    sum in a different order still agree."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** places)
+    return F.rint(c * scale + TIE_NUDGE) / scale
+
+
+def np_round_sql(e: str, places: int) -> str:
+    scale = 10 ** places
+    return f"(round_even(({e}) * {scale} + {TIE_NUDGE}, 0) / {scale})"
+
+
 def short_names(spark: SparkSession) -> DataFrame:
     """C5 dimension: embedder → short name, with the reduced "(50-d)" variants."""
     rows = []
@@ -122,9 +139,9 @@ def three_averages(results: DataFrame, frequency: str, weighted: bool = False, p
         g = g.drop("valid_entries")
     g = with_short_names(g)
     cols = [F.col("model"), F.col("algorithm"),
-            F.bround("sil_score", places).alias("silhouette"),
-            F.bround("db_score", places).alias("davies_bouldin"),
-            F.bround("ch_score", places).alias("calinski_harabasz")]
+            np_round("sil_score", places).alias("silhouette"),
+            np_round("db_score", places).alias("davies_bouldin"),
+            np_round("ch_score", places).alias("calinski_harabasz")]
     if weighted:
         cols.append(F.col("valid_entries").cast("long").alias("valid_entries"))
     return g.select(*cols).orderBy("model", "algorithm")
@@ -144,9 +161,9 @@ def cluster_nature(results: DataFrame, frequency: str, algorithms: Iterable[str]
     grid = full_grid(of_frequency(results, frequency), algorithms)
     out = with_short_names(grid.join(g, KEYS, "left"))
     return out.select("model", "algorithm",
-                      F.bround("n_clusters", places).alias("n_clusters"),
-                      F.bround("noise_percentage", places).alias("noise_percentage"),
-                      F.bround("avg_cluster_size", places).alias("avg_cluster_size")).orderBy("model", "algorithm")
+                      np_round("n_clusters", places).alias("n_clusters"),
+                      np_round("noise_percentage", places).alias("noise_percentage"),
+                      np_round("avg_cluster_size", places).alias("avg_cluster_size")).orderBy("model", "algorithm")
 
 
 def best_marks(report: DataFrame, maximise: Iterable[str] = (), minimise: Iterable[str] = ()) -> DataFrame:
@@ -165,9 +182,9 @@ def leaderboards(results: DataFrame) -> DataFrame:
     w = Window.partitionBy("frequency", "tag")
     return results.select(
         "frequency", "tag", "algorithm", "embedder",
-        F.rank().over(w.orderBy(F.desc_nulls_last("sil_score"))).alias("sil_rank"),
-        F.rank().over(w.orderBy(F.asc_nulls_last("db_score"))).alias("db_rank"),
-        F.rank().over(w.orderBy(F.desc_nulls_last("ch_score"))).alias("ch_rank"))
+        F.rank().over(w.orderBy(F.desc_nulls_last("sil_score"))).cast("long").alias("sil_rank"),
+        F.rank().over(w.orderBy(F.asc_nulls_last("db_score"))).cast("long").alias("db_rank"),
+        F.rank().over(w.orderBy(F.desc_nulls_last("ch_score"))).cast("long").alias("ch_rank"))
 
 
 def silhouette_pivot(results: DataFrame, algorithms: Iterable[str], places: int | None = 5) -> DataFrame:

@@ -79,7 +79,7 @@ def a4_posts_by_tag(spark, sf_dir):
     return K.posts_by_tag(posts, C.tag_dates(cal), MAIN)
 
 
-@query("a7_tags_by_frequency", lambda: P + "SELECT frequency, count(*) AS tags, sum(dates_amount) AS days FROM ("
+@query("a7_tags_by_frequency", lambda: P + "SELECT frequency, count(*) AS tags, CAST(sum(dates_amount) AS BIGINT) AS days FROM ("
        + " UNION ALL ".join(f"SELECT frequency, dates_amount FROM ({C.tag_calendar_sql(f, TODAY_SQL)})"
                             for f in C.VALID_FREQUENCIES) + ") GROUP BY frequency")
 def a7_tags_by_frequency(spark, sf_dir):

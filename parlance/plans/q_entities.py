@@ -42,7 +42,7 @@ def f1_variation(spark, sf_dir):
     return EN.variation(rolled, rolled.select("frequency", "tag"))
 
 
-@query("d17_tag_rollup", lambda: DS + f"""SELECT frequency, tag, entity_type, sum(occurrences) AS items_amount,
+@query("d17_tag_rollup", lambda: DS + f"""SELECT frequency, tag, entity_type, CAST(sum(occurrences) AS BIGINT) AS items_amount,
   count(*) AS unique_amount FROM ({ROLLED_SQL}) GROUP BY ALL""")
 def d17_tag_rollup(spark, sf_dir):
     return EN.rollup_summary(_rolled(spark, sf_dir))
@@ -79,7 +79,7 @@ def f5_distinct_tags_desc(spark, sf_dir):
     return S.result_rows(spark, sf_dir).select("tag").distinct().orderBy(F.desc("tag"))
 
 
-@query("a5_tag_lookup", lambda: DS + f"""SELECT frequency, tag, entity_type, sum(occurrences) AS items_amount,
+@query("a5_tag_lookup", lambda: DS + f"""SELECT frequency, tag, entity_type, CAST(sum(occurrences) AS BIGINT) AS items_amount,
   count(*) AS unique_amount FROM ({ROLLED_SQL}) WHERE frequency = 'daily' AND tag = '2024-01-15' GROUP BY ALL""")
 def a5_tag_lookup(spark, sf_dir):
     summ = EN.rollup_summary(_rolled(spark, sf_dir))
@@ -157,7 +157,7 @@ cur AS (SELECT r.frequency, r.tag, r.entity_type, r.item FROM r JOIN pv USING (f
 bef AS (SELECT pv.frequency, pv.tag, r.entity_type, r.item FROM r JOIN pv ON r.frequency = pv.frequency AND r.tag = pv.prev_tag),
 ad AS (SELECT frequency, tag, entity_type, count(*) AS added FROM (SELECT * FROM cur EXCEPT SELECT * FROM bef) GROUP BY ALL),
 rm AS (SELECT frequency, tag, entity_type, count(*) AS removed FROM (SELECT * FROM bef EXCEPT SELECT * FROM cur) GROUP BY ALL),
-sm AS (SELECT frequency, tag, entity_type, sum(occurrences) AS items_amount, count(*) AS unique_amount FROM r GROUP BY ALL),
+sm AS (SELECT frequency, tag, entity_type, CAST(sum(occurrences) AS BIGINT) AS items_amount, count(*) AS unique_amount FROM r GROUP BY ALL),
 k AS (SELECT frequency, tag, entity_type FROM sm UNION SELECT frequency, tag, entity_type FROM ad
       UNION SELECT frequency, tag, entity_type FROM rm)
 SELECT k.frequency, k.tag, k.entity_type, CAST(coalesce(unique_amount, 0) AS BIGINT) AS unique_amount,

@@ -25,7 +25,7 @@ def b12_noise_filter(spark, sf_dir):
             .groupBy("label").agg(F.count(F.lit(1)).alias("size")))
 
 
-@query("c4_cluster_members", lambda: f"""SELECT v.label, count(*) AS members, sum(d.n_chars) AS chars
+@query("c4_cluster_members", lambda: f"""SELECT v.label, count(*) AS members, CAST(sum(d.n_chars) AS BIGINT) AS chars
 FROM ({V}) v JOIN documents d ON d.doc_id = v.doc_id WHERE v.label <> -1 GROUP BY v.label""")
 def c4_cluster_members(spark, sf_dir):
     """C4: labels joined to their texts by id (never by position), members per cluster, noise out."""
@@ -88,7 +88,7 @@ def f14_sample(spark, sf_dir):
 
 
 @query("a8_a9_tag_store", lambda: "WITH day_sets AS (" + S.DAY_SETS_SQL + f""")
-SELECT frequency, tag, entity_type, sum(occurrences) AS items_amount, count(*) AS unique_amount
+SELECT frequency, tag, entity_type, CAST(sum(occurrences) AS BIGINT) AS items_amount, count(*) AS unique_amount
 FROM ({ROLLED_SQL}) GROUP BY ALL""")
 def a8_a9_tag_store(spark, sf_dir):
     """A8 append (partitioned by frequency, tag) then A9 replace of the tags written twice."""
@@ -155,7 +155,7 @@ NATION_LAT, NATION_LON = "n_nationkey * 4.7 - 58", "n_nationkey * 14.0 - 170"
 
 
 @query("c11_nearest_place", lambda: f"""WITH c AS (SELECT c_custkey AS pid, {CUST_LAT} AS lat, {CUST_LON} AS lon FROM customer),
-p AS (SELECT n_nationkey AS place_id, {NATION_LAT} AS lat, {NATION_LON} AS lon FROM nation),
+p AS (SELECT CAST(n_nationkey AS BIGINT) AS place_id, {NATION_LAT} AS lat, {NATION_LON} AS lon FROM nation),
 d AS (SELECT c.pid, p.place_id, {__import__('parlance.operators.geo', fromlist=['x']).haversine_sql('c.lat', 'c.lon', 'p.lat', 'p.lon')} AS distance_km FROM c CROSS JOIN p)
 SELECT pid, place_id, distance_km FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance_km, place_id) AS r
   FROM d WHERE distance_km <= {RADIUS_KM}) WHERE r = 1""")

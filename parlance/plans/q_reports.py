@@ -82,8 +82,8 @@ def _three_sql(weighted):
     w = " * valid_entries / max(valid_entries) OVER ()" if weighted else ""
     extra = ", valid_entries" if weighted else ""
     return RR + f"""SELECT coalesce(s.model, g.embedder) AS model, algorithm,
-  round_even(sil{w}, 3) AS silhouette, round_even(db{w}, 3) AS davies_bouldin,
-  round_even(ch{w}, 3) AS calinski_harabasz{extra}
+  (round_even((sil{w}) * 1000 + 1e-07, 0) / 1000) AS silhouette, (round_even((db{w}) * 1000 + 1e-07, 0) / 1000) AS davies_bouldin,
+  (round_even((ch{w}) * 1000 + 1e-07, 0) / 1000) AS calinski_harabasz{extra}
 FROM (SELECT algorithm, embedder, avg(sil_score) AS sil, avg(db_score) AS db, avg(ch_score) AS ch,
         count(sil_score) AS valid_entries FROM result_rows WHERE frequency = '{FREQ}'
       GROUP BY algorithm, embedder) g LEFT JOIN {SHORT} s ON s.embedder = g.embedder"""
@@ -103,8 +103,8 @@ def _nature_sql():
     algs = ", ".join(f"('{a}')" for a in FIXTURE_ALGORITHMS)
     valid = "sil_score IS NOT NULL AND {c} IS NOT NULL"
     return RR + f"""SELECT coalesce(s.model, grid.embedder) AS model, grid.algorithm,
-  round_even(n_clusters, 3) AS n_clusters, round_even(noise_percentage, 3) AS noise_percentage,
-  round_even(avg_cluster_size, 3) AS avg_cluster_size
+  (round_even((n_clusters) * 1000 + 1e-07, 0) / 1000) AS n_clusters, (round_even((noise_percentage) * 1000 + 1e-07, 0) / 1000) AS noise_percentage,
+  (round_even((avg_cluster_size) * 1000 + 1e-07, 0) / 1000) AS avg_cluster_size
 FROM (SELECT DISTINCT embedder, a.algorithm FROM result_rows CROSS JOIN (VALUES {algs}) a(algorithm)
       WHERE frequency = '{FREQ}') grid
 LEFT JOIN (SELECT algorithm, embedder,
@@ -195,7 +195,7 @@ def b9_exclusions(spark, sf_dir):
 
 
 @query("b10_case_study", lambda: RR + f"""SELECT coalesce(s.model, g.embedder) AS model, algorithm,
-  round_even(sil, 3) AS silhouette, round_even(db, 3) AS davies_bouldin, round_even(ch, 3) AS calinski_harabasz
+  (round_even((sil) * 1000 + 1e-07, 0) / 1000) AS silhouette, (round_even((db) * 1000 + 1e-07, 0) / 1000) AS davies_bouldin, (round_even((ch) * 1000 + 1e-07, 0) / 1000) AS calinski_harabasz
 FROM (SELECT algorithm, embedder, avg(sil_score) AS sil, avg(db_score) AS db, avg(ch_score) AS ch
       FROM result_rows WHERE tag = '2024-01-10' GROUP BY ALL) g LEFT JOIN {SHORT} s ON s.embedder = g.embedder""")
 def b10_case_study(spark, sf_dir):
@@ -244,8 +244,8 @@ def p3_report_tables(spark, sf_dir):
     return spark.read.schema(rep.schema).option("header", True).csv(out)
 
 
-@query("p4_consolidated_json", lambda: RR + f"""SELECT to_json(struct_pack(algorithm := algorithm, embedder := embedder,
-  sil_score := round(sil_score, 6), valid_entries := valid_entries)) AS json FROM ({CONSOLIDATED_SQL})""")
+@query("p4_consolidated_json", lambda: RR + f"""SELECT CAST(to_json(struct_pack(algorithm := algorithm, embedder := embedder,
+  sil_score := round(sil_score, 6), valid_entries := valid_entries)) AS VARCHAR) AS json FROM ({CONSOLIDATED_SQL})""")
 def p4_consolidated_json(spark, sf_dir):
     """Consolidated view as one JSON object per row (index columns stay columns)."""
     rep = R.consolidated(_rows(spark, sf_dir), FREQ)

@@ -86,7 +86,7 @@ def m3_weekly_windows(spark, sf_dir):
 
 
 @query("m4_incremental_rollup", lambda: f"""WITH d AS ({S.DAY_SETS_SQL})
-SELECT 'daily' AS frequency, tag, entity_type, sum(c) AS items_amount, count(*) AS unique_amount
+SELECT 'daily' AS frequency, tag, entity_type, CAST(sum(c) AS BIGINT) AS items_amount, count(*) AS unique_amount
 FROM (SELECT tag, entity_type, item, count(*) AS c FROM d GROUP BY ALL) GROUP BY ALL""")
 def m4_incremental_rollup(spark, sf_dir):
     """M4: stream of day sets; each batch recomputes only the tags it touches (A9 overwrite)."""

@@ -109,7 +109,7 @@ def _stats_sql(src):
 SELECT count(CASE WHEN label <> -1 THEN 1 END) AS n_clusters,
   round_even(avg(CASE WHEN label <> -1 THEN size END), 2) AS avg_cluster_size,
   min(CASE WHEN label <> -1 THEN size END) AS min_cluster_size, max(CASE WHEN label <> -1 THEN size END) AS max_cluster_size,
-  coalesce(sum(CASE WHEN label = -1 THEN size END), 0) AS noise_amount, sum(size) AS total,
+  CAST(coalesce(sum(CASE WHEN label = -1 THEN size END), 0) AS BIGINT) AS noise_amount, CAST(sum(size) AS BIGINT) AS total,
   round_even(coalesce(sum(CASE WHEN label = -1 THEN size END), 0) / sum(size), 2) AS noise_fraction,
   coalesce(sum(CASE WHEN label = -1 THEN size END), 0) > 0 AS has_noise FROM s"""
 

@@ -30,6 +30,10 @@ def load_all() -> None:
 
 
 ROUND_PLACES = 6
+# Decimal ties (x.xxxxxx5 exactly) are common in the fixture data; engines may hold such a value one
+# ulp apart after summing in a different order.  A nudge far below the printed precision moves every
+# tie off the rounding boundary, so both sides round the same way.
+NUDGE = 1e-11
 
 
 def _rounded(fn: QueryFn) -> QueryFn:
@@ -39,8 +43,11 @@ def _rounded(fn: QueryFn) -> QueryFn:
     from pyspark.sql import types as T
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the model's timestamps are naive UTC (as in the stored data): pin the session time zone
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         df = fn(spark, sf_dir)
-        cols = [F.round(F.col(f"`{f.name}`"), ROUND_PLACES).alias(f.name)
+        cols = [F.round(F.col(f"`{f.name}`") + NUDGE, ROUND_PLACES).alias(f.name)
                 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                 for f in df.schema.fields]
         return df.select(*cols)
@@ -76,7 +83,7 @@ def _round_sql(con, sql: str) -> str:
     cols = []
     for name, typ, *_ in desc:
         q = '"' + name.replace('"', '""') + '"'
-        cols.append(f"round({q}, {ROUND_PLACES}) AS {q}" if typ in ("DOUBLE", "FLOAT") else q)
+        cols.append(f"round({q} + {NUDGE}, {ROUND_PLACES}) AS {q}" if typ in ("DOUBLE", "FLOAT") else q)
     return f"SELECT {', '.join(cols)} FROM (\n{sql}\n) AS q"
 
 
