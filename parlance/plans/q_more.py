@@ -167,3 +167,16 @@ def c11_nearest_place(spark, sf_dir):
     p = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("place_id"),
                                                 F.expr(NATION_LAT).alias("lat"), F.expr(NATION_LON).alias("lon"))
     return nearest_place(c, p, RADIUS_KM)
+
+
+@query("h14_normalise_tokens", lambda: f"""WITH t AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
+  FROM (SELECT doc_id, {T.tokens_sql(T.clean_v2_sql('text'))} AS toks FROM documents)),
+lem AS (SELECT token, lemma FROM (SELECT token, {__import__('parlance.operators.normalise', fromlist=['x']).light_stem_sql('token')} AS lemma
+        FROM (SELECT DISTINCT token FROM t)) WHERE lemma <> token)
+SELECT doc_id, string_agg(coalesce(lem.lemma, t.token), ' ' ORDER BY pos) AS text FROM t LEFT JOIN lem USING (token)
+GROUP BY doc_id""")
+def h14_normalise_tokens(spark, sf_dir):
+    """Cleaned texts with every token mapped through the vocabulary's lemma table."""
+    from ..operators.normalise import normalise
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", T.clean_v2("text").alias("text"))
+    return normalise(docs)
