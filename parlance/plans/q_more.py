@@ -180,3 +180,71 @@ def h14_normalise_tokens(spark, sf_dir):
     from ..operators.normalise import normalise
     docs = S.table(spark, sf_dir, "documents").select("doc_id", T.clean_v2("text").alias("text"))
     return normalise(docs)
+
+
+# ---- composites P5–P7 and A10 ---------------------------------------------------------------------------
+def _posts_modes(spark, sf_dir):
+    """B5 city modes: the main city and all cities, as a ``mode`` column (union, not a loop)."""
+    from ..operators import corpus as K
+    posts = S.posts(spark, sf_dir)
+    sel = K.select_posts(posts)
+    return (sel.where(F.col("city_tag") == S.MAIN_CITY).withColumn("mode", F.lit(S.MAIN_CITY))
+            .unionByName(sel.withColumn("mode", F.lit("all"))))
+
+
+@query("p5_embedding_measurement")
+def p5_embedding_measurement(spark, sf_dir):
+    """P5: city modes (B5) → cleaner v1 (H8) → distinct (G1) → embedder (I6) → norm statistics
+    per (mode, embedder); the 2-d projection (I9) is the plotted data."""
+    modes = _posts_modes(spark, sf_dir)
+    corpus = (modes.select("mode", T.clean_v1("full_text").alias("text")).where(F.length("text") > 0)
+              .dropDuplicates(["mode", "text"]).withColumn("id", F.xxhash64("mode", "text")))
+    vec = FE.hashing_embedder(64)(corpus).withColumn("embedder", F.lit("Hash 64"))
+    return Q.norm_stats(vec, ["mode", "embedder"])
+
+
+@query("p6_word2vec_sweep")
+def p6_word2vec_sweep(spark, sf_dir):
+    """Document-vector sweep (vector size × window) on the main corpus, each setting projected to 2-d
+    (I9); returns the spread of each projection."""
+    from ..operators import corpus as K
+    posts = S.posts(spark, sf_dir)
+    corpus = K.clean_corpus(K.select_posts(posts, city=S.MAIN_CITY), "full_text").withColumn("id", F.xxhash64("text"))
+    out = None
+    for size in (50, 100):
+        for window in (3, 5):
+            vec = FE.word2vec_embedder(corpus, size=size, window=window, min_count=3)(corpus)
+            proj = FE.projection_2d(vec.withColumn("label", F.lit(0)))
+            part = proj.agg(F.stddev_pop("x").alias("sd_x"), F.stddev_pop("y").alias("sd_y"),
+                            F.count(F.lit(1)).alias("docs")).select(
+                F.lit(size).alias("size"), F.lit(window).alias("window"), "sd_x", "sd_y", "docs")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("p7_kmeans_topics")
+def p7_kmeans_topics(spark, sf_dir):
+    """Filtered text (A2) → cleaner v1 (H8) → embedder (I6) → k-means (J1) → silhouette and inertia
+    (K1, K4) → members (C4) → first members (F13) → topics per cluster (L6)."""
+    from ..clustering import kmeans as KM
+    from ..operators import corpus as K
+    from ..operators.topics import topics_per_cluster
+    from ..session import cut_lineage
+    posts = S.posts(spark, sf_dir)
+    corpus = cut_lineage(K.text_of_posts(posts).select("id", T.clean_v1("full_text").alias("text"))
+                         .where(F.length("text") > 0))
+    vec = cut_lineage(FE.hashing_embedder(64)(corpus))
+    labels, _ = KM.kmeans(vec.select("id", "features"), 5)
+    members = labels.join(corpus, "id").select(F.col("id").alias("doc_id"), "text", F.col("label").alias("cluster"))
+    return topics_per_cluster(members, "cluster", k=3, top=5, max_iter=10)
+
+
+@query("a10_result_rows_store")
+def a10_result_rows_store(spark, sf_dir):
+    """A10: clustering result rows (success and failure shape) appended to a store partitioned by
+    frequency, read back typed."""
+    from .cluster_tags import cluster_tags
+    rows = cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["rows"]
+    path = scratch(spark, "results")
+    IO.append_partitioned(rows, path, ("frequency",))
+    return spark.read.parquet(path).select("frequency", "tag", "embedder", "algorithm", "success", "n_clusters")
