@@ -248,3 +248,43 @@ def a10_result_rows_store(spark, sf_dir):
     path = scratch(spark, "results")
     IO.append_partitioned(rows, path, ("frequency",))
     return spark.read.parquet(path).select("frequency", "tag", "embedder", "algorithm", "success", "n_clusters")
+
+
+# ---- G4, G5 ---------------------------------------------------------------------------------------------
+def _vocab_parts():
+    from ..functions import lexicon as LX
+    base = set(LX.spark_default_stopwords("spanish")) | set(LX.EXTRA_STOPWORDS)
+    folded = {LX.fold_accents_py(w) for w in base} - base
+    laughter = {LX.LAUGHTER_STOP_SEED * i for i in range(1, LX.LAUGHTER_STOP_MAX + 1)} - base - folded
+    return [("stopword", sorted(base)), ("folded", sorted(folded)), ("laughter", sorted(laughter))]
+
+
+def _g4_sql():
+    from ..functions import lexicon as LX
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS source, unnest({LX.sql_str_list(words)}) AS word"
+                               for name, words in _vocab_parts())
+    return f"""WITH v AS ({parts}),
+t AS (SELECT unnest({T.tokens_sql(T.fold_accents_sql('lower(text)'))}) AS word FROM documents)
+SELECT v.source, count(*) AS tokens FROM t JOIN v USING (word) GROUP BY v.source"""
+
+
+@query("g4_vocabulary_union", _g4_sql)
+def g4_vocabulary_union(spark, sf_dir):
+    """The stop-word vocabulary as a union of small frames (stop words ∪ folded ∪ laughter),
+    broadcast-joined to the corpus tokens; tokens counted per part."""
+    vocab = None
+    for name, words in _vocab_parts():
+        part = spark.createDataFrame([(name, w) for w in words], "source string, word string")
+        vocab = part if vocab is None else vocab.unionByName(part)
+    toks = S.table(spark, sf_dir, "documents").select(F.explode(T.tokens(T.fold_accents(F.lower("text")))).alias("word"))
+    return toks.join(F.broadcast(vocab.distinct()), "word").groupBy("source").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("g5_embedder_union")
+def g5_embedder_union(spark, sf_dir):
+    """Base and reduced (50-d) embedders unioned by name; norm statistics per embedder."""
+    docs = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    base = FE.hashing_embedder(64)(docs).withColumn("embedder", F.lit("Hash 64"))
+    reduced = FE.pca_reduce(base.drop("embedder"), k=50).withColumn("embedder", F.lit("Hash 64 (50-d)"))
+    both = base.select("id", "features", "embedder").unionByName(reduced.select("id", "features", "embedder"))
+    return Q.norm_stats(both, ["embedder"])
