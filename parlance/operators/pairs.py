@@ -18,7 +18,7 @@ from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_SIZE = 2048
@@ -41,11 +41,19 @@ def ensure_group(points: DataFrame, group_cols: Sequence[str]):
 
 def assign_blocks(points: DataFrame, group_cols: Sequence[str], id_col: str,
                   block_size: int = DEFAULT_BLOCK_SIZE, min_blocks: int | None = None) -> DataFrame:
-    """Add ``_nb`` (blocks of the group) and ``_b`` (block of the point)."""
-    if min_blocks is None:
-        min_blocks = max(1, math.ceil(math.sqrt(2 * _parallelism(points))))
+    """Add ``_nb`` (blocks of the group) and ``_b`` (block of the point).
+
+    A group gets at least ceil(n / block_size) blocks (bounded work per task) and, for parallelism,
+    a share of the cores proportional to its size: about sqrt(2 · P · n / N) blocks, i.e. ~P · n / N
+    block pairs.  One big group is spread over all cores; many small groups get one block each."""
     counts = points.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.least(F.col("_n"), F.greatest(F.ceil(F.col("_n") / block_size), F.lit(min_blocks))).cast("int")
+    if min_blocks is None:
+        par = _parallelism(points)
+        # the counts frame has one row per group: a window over it is small
+        share = F.ceil(F.sqrt(2.0 * par * F.col("_n") / F.sum("_n").over(Window.partitionBy())))
+    else:
+        share = F.lit(min_blocks)
+    nb = F.least(F.col("_n"), F.greatest(F.ceil(F.col("_n") / block_size), share)).cast("int")
     counts = counts.select(*group_cols, nb.alias("_nb"))
     joined = points.join(counts, list(group_cols))
     return joined.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nb")).cast("int"))
