@@ -3,15 +3,13 @@
 Everything here is a fixed value that must equal the original application's
 choices for results to agree; they are stated plainly, in natural order.
 The large Spanish stop-word list itself is not copied: it is Spark's own
-``StopWordsRemover`` resource, read from the Spark ML jar.
+``StopWordsRemover`` resource, kept in ``stopwords_spanish.txt``.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
 import os
-import zipfile
 
 # ---- fixed values -----------------------------------------------------------
 # Extra stop words (slang) added to the Spanish list.
@@ -63,14 +61,10 @@ def fold_accents_py(s: str) -> str:
 
 @functools.lru_cache(maxsize=None)
 def spark_default_stopwords(language: str = "spanish") -> tuple[str, ...]:
-    """Spark ML's default stop words for a language, read from the ML jar (no JVM needed)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w for w in text.split("\n") if w)
+    """Spark ML's default stop words for a language, kept as a plain file beside this module."""
+    path = os.path.join(os.path.dirname(__file__), f"stopwords_{language}.txt")
+    with open(path, encoding="utf-8") as f:
+        return tuple(w for w in f.read().split("\n") if w and not w.startswith("#"))
 
 
 @functools.lru_cache(maxsize=None)
