@@ -3,7 +3,7 @@
 Hash-min label propagation with pointer jumping: each round every vertex
 takes the smallest label among itself and its neighbours, then jumps to its
 label's label.  Rounds are joins and partial aggregations keyed by vertex;
-lineage is cut by a reliable ``checkpoint()`` every round (never a local one),
+lineage is cut every round by writing the labels under the shared checkpoint folder,
 and convergence is tested with one aggregated row.
 """
 
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, group_cols: Sequence[str] = (),
-                         max_rounds: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``vertices``: (*group, id); ``edges``: (*group, src, dst).  Returns (*group, id, component)
     where component = smallest id of the component."""
     g = list(group_cols)
@@ -27,7 +26,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, group_cols: Sequ
            .where(F.col("src") != F.col("dst")).dropDuplicates([*g, "src", "dst"]))
     und = cut_lineage(und)
     labels = cut_lineage(vertices.select(*g, "id").distinct().withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    while True:   # labels only fall, and a round that changes none is the last
         # smallest neighbour label
         nb = (und.join(labels.withColumnRenamed("id", "src"), [*g, "src"])
               .groupBy(*g, F.col("dst").alias("id")).agg(F.min("component").alias("_m")))
