@@ -6,10 +6,18 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, jaccard_join, substring_dedup
 from .common import table
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
@@ -22,10 +30,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op7_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
