@@ -5,11 +5,39 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, substring_dedup
+from . import decontaminate, exact_dedup, hashed_text, jaccard_join, mixing, quality, substring_dedup, toxicity
 from .common import table
 
 
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Model | None:
+    """Fitted on the rated documents that are not held out."""
+    return quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")), learn_from=~hashed_text.held_out(F.col("doc_id")))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the mixing: the documents that ``labels`` covers, by language."""
+    covered = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(covered, "doc_id")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(docs, spark, sf_dir), keep_text=False)
+    return scored.select("doc_id", hashed_text.held_out(F.col("doc_id")).alias("held_out"), "score", "expected_grade", "tail", "keep")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, languages(spark, sf_dir), keep_text=False)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,8 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_toxicity": op2_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
