@@ -1,7 +1,7 @@
 """Clustering registry — name → function(points (*group, id, features), group_cols) → (*group, id, label).
 
 Every entry clusters all groups (tag × embedder ...) in one job.  Order and defaults follow the
-original registry where an algorithm is built (K-means, DBSCAN, HDBSCAN flat cut, OPTICS density cut).
+original registry where an algorithm is built (K-means with and without noise removal, mean-shift, DBSCAN, a density cut of the spanning tree).
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ def _dbscan(points, group_cols, eps=DB.DEFAULT_EPS, min_samples=DB.DEFAULT_MIN_S
     return DB.dbscan(points, eps, min_samples, group_cols).select(*group_cols, "id", "label")
 
 
-def _hdbscan(points, group_cols, min_cluster_size=5):
-    from .hdbscan import hdbscan_flat
-    return hdbscan_flat(points, min_cluster_size=min_cluster_size, group_cols=group_cols)
+def _kmeans_without_noise(points, group_cols):
+    return KM.kmeans_without_noise(points, group_cols=group_cols)
+
+
+def _density_cut(points, group_cols, min_cluster_size=5):
+    from .hdbscan import mst_density_cut
+    return mst_density_cut(points, min_cluster_size=min_cluster_size, group_cols=group_cols)
 
 
 def _meanshift(points, group_cols):
@@ -40,9 +44,10 @@ def _meanshift(points, group_cols):
 def registry() -> dict[str, ClusterFn]:
     return {
         "K-Means": _kmeans,
+        "K-Means without noise": _kmeans_without_noise,
         "Mean-Shift": _meanshift,
         "DBSCAN": _dbscan,
-        "HDBSCAN": _hdbscan,
+        "MST density cut": _density_cut,
     }
 
 

@@ -76,7 +76,7 @@ def tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_d
 
 
 # ---- fitted models --------------------------------------------------------------------------------------
-def count_pipeline(min_df=3.0, max_df=0.85, stop_words=None, vocab_size=1 << 18) -> Pipeline:
+def count_pipeline(min_df=3.0, max_df=0.85, stop_words=None, vocab_size=2 ** 31 - 1) -> Pipeline:
     """``max_df=None`` keeps every frequent term.  Note Spark's convention: a bound ≥ 1 is a document
     count, a bound in [0, 1) a fraction."""
     """I1/I2 as ``pyspark.ml`` stages (model form, vectors for downstream estimators)."""
@@ -145,6 +145,18 @@ def hashing_embedder(dim: int = 64, seed: int = RANDOM_SEED):
     return embed
 
 
+def hashing_tf_embedder(dim: int = 64, text_col: str = "text"):
+    """The default embedder: hashed term counts (``HashingTF``) of the word tokens, L2-normalised, in the JVM."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+
+    def embed(df: DataFrame) -> DataFrame:
+        toks = df.withColumn("_toks", word_tokens(F.col(text_col)))
+        tf = HashingTF(numFeatures=dim, inputCol="_toks", outputCol="_tf").transform(toks)
+        out = Normalizer(inputCol="_tf", outputCol="_v").transform(tf)
+        return out.withColumn("features", vector_to_array("_v")).drop("_toks", "_tf", "_v")
+    return embed
+
+
 def pca_reduce(points: DataFrame, k: int = 50, standardise_after: bool = True) -> DataFrame:
     """I8: centre, PCA(k) (Spark's PCA does not centre), then standardise again."""
     from .quality import standardise
@@ -175,7 +187,7 @@ def projection_2d(points: DataFrame, drop_noise: bool = False) -> DataFrame:
 # Embedder registry — name → factory(corpus) → embed(df).  "(50-d)" variants add I8.
 def embedder_registry() -> dict:
     base = {
-        "Hash 64": lambda corpus: hashing_embedder(64),
+        "Hash 64": lambda corpus: hashing_tf_embedder(64),
         "Word2Vec 100": lambda corpus: word2vec_embedder(corpus, size=100),
         "Subword 100": lambda corpus: word2vec_embedder(corpus, size=100, subword=True),
     }

@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +39,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, group_cols: Sequ
         new = cut_lineage(new)
         changed = (new.join(labels.withColumnRenamed("component", "_old"), [*g, "id"])
                    .where(F.col("component") != F.col("_old")).limit(1).count())
+        release(labels)      # the round before is in no plan any more
         labels = new
         if changed == 0:
             break
+    release(und)
     return labels

@@ -3,7 +3,7 @@
 Points of a group are hashed into ``B`` blocks (B grows with the group, so a
 group holding a third of all rows is split like any other).  Each point is
 replicated to the ``B + 1`` block pairs ``(bi <= bj)`` it takes part in, and
-``cogroup(...).applyInPandas`` runs one NumPy kernel per block pair.  A
+one grouped ``applyInPandas`` call per block pair runs a NumPy kernel.  A
 kernel never returns the pairs themselves, only what the operator needs:
 per-point sums per label (silhouette), the k smallest distances (k-NN),
 neighbour counts within eps, a spanning forest of eps-edges, or per-point
@@ -18,7 +18,7 @@ from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_SIZE = 2048
@@ -49,8 +49,9 @@ def assign_blocks(points: DataFrame, group_cols: Sequence[str], id_col: str,
     counts = points.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     if min_blocks is None:
         par = _parallelism(points)
-        # the counts frame has one row per group: a window over it is small
-        share = F.ceil(F.sqrt(2.0 * par * F.col("_n") / F.sum("_n").over(Window.partitionBy())))
+        total = counts.agg(F.sum("_n").alias("_all")).withColumn("_one", F.lit(1))     # one row
+        counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+        share = F.ceil(F.sqrt(2.0 * par * F.col("_n") / F.col("_all")))
     else:
         share = F.lit(min_blocks)
     nb = F.least(F.col("_n"), F.greatest(F.ceil(F.col("_n") / block_size), share)).cast("int")
@@ -107,8 +108,9 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     if len(a) == 0 or len(b) == 0:
         return np.zeros((len(a), len(b)))
     if metric == "cosine":
-        an = a / np.linalg.norm(a, axis=1, keepdims=True)
-        bn = b / np.linalg.norm(b, axis=1, keepdims=True)
+        # a zero vector is at distance 1 from everything
+        an = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), np.finfo(float).tiny)
+        bn = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), np.finfo(float).tiny)
         return np.clip(1.0 - an @ bn.T, 0.0, 2.0)
     if metric != "euclidean":
         raise ValueError(f"unknown metric {metric}")

@@ -9,6 +9,7 @@ would not skip NaN).
 
 from __future__ import annotations
 
+import re
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,21 +28,28 @@ EMBEDDER_SHORT_NAMES = {
 }
 
 
-TIE_NUDGE = 1e-7  # in units of the last kept place: far below display precision, far above float noise
+def exact_avg(c) -> Column:
+    """Mean whose sum is taken in decimals of 12 places: it does not depend on the order of the rows, so that
+    half-even rounding sees the same value on every run."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.try_divide(F.sum(c.cast("decimal(28,12)")).cast("double"), F.count(c))
+
+
+def exact_averages_sql(sql: str) -> str:
+    """The SQL twin of ``exact_avg``, for every ``avg(...)`` of a statement."""
+    return re.sub(r"\bavg\(((?:[^()]|\([^()]*\))*)\)", r"(CAST(sum(CAST(\1 AS DECIMAL(28,12))) AS DOUBLE) / count(\1))", sql)
 
 
 def np_round(c, places: int):
-    """Round like NumPy / pandas ``.round(n)`` (scale, round half to even, unscale).  Exact decimal ties
-    — whose side depends on the binary representation in NumPy too — are nudged up, so engines that
-    sum in a different order still agree."""
+    """Round like NumPy / pandas ``.round(n)``: scale, round half to even, unscale."""
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** places)
-    return F.rint(c * scale + TIE_NUDGE) / scale
+    return F.rint(c * scale) / scale
 
 
 def np_round_sql(e: str, places: int) -> str:
     scale = 10 ** places
-    return f"(round_even(({e}) * {scale} + {TIE_NUDGE}, 0) / {scale})"
+    return f"(round_even(({e}) * {scale}, 0) / {scale})"
 
 
 def short_names(spark: SparkSession) -> DataFrame:
@@ -82,12 +90,12 @@ def _valid(c: str) -> Column:
 def metric_aggregates() -> dict[str, Column]:
     return {
         "valid_entries": F.count("sil_score"),                                    # D2
-        "n_clusters": F.avg(_valid("n_clusters")),                                # D3
-        "noise_percentage": F.avg(_valid("noise_percentage") * 100.0),            # D4
-        "avg_cluster_size": F.avg(_valid("avg_cluster_size")),                    # D5
-        "sil_score": F.avg("sil_score"),                                          # D6
-        "db_score": F.avg("db_score"),                                            # D7
-        "ch_score": F.avg("ch_score"),                                            # D8
+        "n_clusters": exact_avg(_valid("n_clusters")),                                # D3
+        "noise_percentage": exact_avg(_valid("noise_percentage") * 100.0),            # D4
+        "avg_cluster_size": exact_avg(_valid("avg_cluster_size")),                    # D5
+        "sil_score": exact_avg("sil_score"),                                          # D6
+        "db_score": exact_avg("db_score"),                                            # D7
+        "ch_score": exact_avg("ch_score"),                                            # D8
         "n_valid_rows": F.count(_valid("n_clusters")),
     }
 
@@ -195,7 +203,7 @@ def silhouette_pivot(results: DataFrame, algorithms: Iterable[str], places: int
     base = results.withColumn("_best", F.max("sil_score").over(w))
     piv = (base.groupBy("frequency", "tag", "embedder")
            .pivot("algorithm", algorithms)
-           .agg(_display(F.avg("sil_score"), places)))
+           .agg(_display(exact_avg("sil_score"), places)))
     best = base.groupBy("frequency", "tag").agg(_display(F.max("_best"), places).alias("highest"))
     return piv.join(best, ["frequency", "tag"])
 
@@ -209,7 +217,7 @@ def score_lookup(results: DataFrame, frequency: str, tag: str, algorithm: str, e
     hit = results.where((F.col("frequency") == frequency) & (F.col("tag") == tag)
                         & (F.col("algorithm") == algorithm) & (F.col("embedder") == embedder)
                         & F.col("success"))
-    return hit.agg(F.avg("sil_score").alias("sil_score"))
+    return hit.agg(exact_avg("sil_score").alias("sil_score"))
 
 
 def valid_results(results: DataFrame) -> DataFrame:

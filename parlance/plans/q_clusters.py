@@ -33,14 +33,14 @@ def j1_assign_to_centres(spark, sf_dir):
 @query("j2_kmeans_auto_k")
 def j2_kmeans_auto_k(spark, sf_dir):
     """K in 2..5 fitted together, exact silhouette per k, best k kept."""
-    chosen, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"), block_size=256)
+    chosen, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"))
     return chosen
 
 
 @query("j2_k_table")
 def j2_k_table(spark, sf_dir):
     """Silhouette and inertia for each k (the experiment table)."""
-    _, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"), block_size=256)
+    _, table = KM.kmeans_auto_k(_pts(spark, sf_dir).drop("label"))
     return table.select("k", "silhouette", "inertia")
 
 
@@ -66,7 +66,7 @@ def j5_bisecting(spark, sf_dir):
 def j6_dbscan_by_label_group(spark, sf_dir):
     """J6 run for several groups in one job (group = label parity plays the tag)."""
     pts = _pts(spark, sf_dir).withColumn("grp", (F.col("label") % 2).cast("int"))
-    return dbscan(pts, 1.15, 5, ["grp"], block_size=128)
+    return dbscan(pts, 1.15, 5, ["grp"])
 
 
 EPS_LIST = (1.10, 1.15, 1.20)
@@ -75,7 +75,7 @@ EPS_LIST = (1.10, 1.15, 1.20)
 @query("j8_density_cuts", lambda: density_cuts_sql(V, EPS_LIST, 5))
 def j8_density_cuts(spark, sf_dir):
     """J8 (re-aimed OPTICS): DBSCAN* clusters at several eps′ at once (eps′ is a group key)."""
-    return density_cuts(_pts(spark, sf_dir), EPS_LIST, 5, block_size=256)
+    return density_cuts(_pts(spark, sf_dir), EPS_LIST, 5)
 
 
 @query("j7_core_distances", lambda: f"""WITH v AS ({V})
@@ -86,27 +86,33 @@ SELECT id, max(distance) AS core FROM (
 def j7_core_distances(spark, sf_dir):
     """J7 step 1: core distance with min_samples 5 (self counted)."""
     from ..clustering.hdbscan import core_distances
-    return core_distances(_pts(spark, sf_dir).drop("label"), 5, block_size=256)
+    return core_distances(_pts(spark, sf_dir).drop("label"), 5)
 
 
 @query("j7_mst")
 def j7_mst(spark, sf_dir):
     """J7 step 2: minimum spanning tree of the mutual-reachability graph (Borůvka rounds)."""
     from ..clustering.hdbscan import mst
-    return mst(_pts(spark, sf_dir).drop("label"), 5, block_size=256)
+    return mst(_pts(spark, sf_dir).drop("label"), 5)
 
 
-@query("j7_hdbscan_flat")
-def j7_hdbscan_flat(spark, sf_dir):
-    from ..clustering.hdbscan import hdbscan_flat
-    return hdbscan_flat(_pts(spark, sf_dir).drop("label"), min_cluster_size=5, block_size=256)
+@query("j7_density_cut")
+def j7_density_cut(spark, sf_dir):
+    from ..clustering.hdbscan import mst_density_cut
+    return mst_density_cut(_pts(spark, sf_dir).drop("label"), min_cluster_size=5)
 
 
 @query("p2_cluster_tags")
 def p2_cluster_tags(spark, sf_dir):
-    """Every weekly tag × embedder × algorithm clustered, scored and summarised in one pass."""
-    from .cluster_tags import cluster_tags
-    return cluster_tags(spark, sf_dir)["rows"]
+    """Every weekly tag × embedder × algorithm clustered, scored, stored (A10–A12, F8) and read back with
+    its leaderboard ranks."""
+    from ..streaming.ingest import scratch
+    from .cluster_tags import cluster_tags, store_results
+    rows = cluster_tags(spark, sf_dir, embedders=("Hash 64", "Hash 64 (50-d)"), algorithms=("K-Means", "DBSCAN", "MST density cut"))["rows"]
+    paths = store_results(rows, scratch(spark, "p2"))
+    ranks = spark.read.parquet(paths["leaderboards"])
+    return (spark.read.schema(rows.schema).parquet(paths["rows"]).drop("time", "themes", "sentiment")
+            .join(ranks, ["frequency", "tag", "algorithm", "embedder"]))
 
 
 @query("p2_cluster_themes")
@@ -120,11 +126,11 @@ def p2_cluster_themes(spark, sf_dir):
 def j9_mean_shift(spark, sf_dir):
     """Flat-kernel mean-shift, every point a seed, bandwidth estimated (quantile 0.3)."""
     from ..clustering.meanshift import mean_shift
-    return mean_shift(_pts(spark, sf_dir).drop("label"), block_size=256)
+    return mean_shift(_pts(spark, sf_dir).drop("label"))
 
 
 @query("j9_mean_shift_not_all")
 def j9_mean_shift_not_all(spark, sf_dir):
     """J9 with ``cluster_all = False``: points outside the bandwidth of every mode are noise."""
     from ..clustering.meanshift import mean_shift
-    return mean_shift(_pts(spark, sf_dir).drop("label"), cluster_all=False, block_size=256)
+    return mean_shift(_pts(spark, sf_dir).drop("label"), cluster_all=False)

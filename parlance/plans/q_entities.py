@@ -133,7 +133,8 @@ def tag_entities(spark, sf_dir, frequency="weekly"):
     per_tag = per_tag.withColumn("full_text", F.regexp_replace("full_text", HASHTAG_RE, "#$1"))
     cleaned = per_tag.withColumn("full_text", T.blank_unwanted("full_text"))
     keys = ["frequency", "tag"]
-    items = (EN.extract_entities(cleaned, "full_text", _gazetteer(spark, sf_dir), keys)
+    # an entity counts once in a tag (G2), a hashtag as often as it is used
+    items = (EN.extract_entities(cleaned, "full_text", _gazetteer(spark, sf_dir), keys).distinct()
              .unionByName(EN.extract_hashtag_items(cleaned, "full_text", keys)))
     rolled = EN.rollup(EN.with_all_type(items, keys))
     stored = per_tag.select("frequency", "tag").distinct()
@@ -145,7 +146,7 @@ def _p1_sql(frequency="weekly"):
   SELECT DISTINCT d.frequency, d.tag, s.full_text FROM ({SELECTED_SQL}) s
   JOIN ({_tag_dates_sql(frequency)}) d ON CAST(s.created_at AS DATE) = d.date) d"""
     src = src.replace("FROM posts", "FROM posts_h")
-    items = f"""SELECT frequency, tag, item, entity_type FROM ({_entities_sql(src, 'frequency, tag')})
+    items = f"""SELECT DISTINCT frequency, tag, item, entity_type FROM ({_entities_sql(src, 'frequency, tag')})
 UNION ALL SELECT frequency, tag, unnest({T.hashtags_sql('full_text')}) AS item, 'hashtags' AS entity_type FROM ({src})"""
     return f"""WITH posts AS ({POSTS_HASHTAGS_SQL}), posts_h AS (SELECT * FROM posts),
 it AS ({items}),
@@ -173,6 +174,23 @@ def p1_tag_entities(spark, sf_dir):
     return EN.variation_summary(rolled, stored)
 
 
+@query("p1_tag_items", lambda: _p1_sql().split(",\ntg AS")[0] + "\nSELECT frequency, tag, entity_type, item, occurrences FROM r")
+def p1_tag_items(spark, sf_dir):
+    """P1 content: every item of every weekly tag, appended to the tag store (A8) and read back."""
+    from ..sources import io as IO
+    from ..streaming.ingest import read_rollup_store, scratch
+    rolled, _ = tag_entities(spark, sf_dir)
+    path = scratch(spark, "tags")
+    IO.append_partitioned(rolled, path, ("frequency", "tag"))
+    return read_rollup_store(spark, path)
+
+
+@query("d17_tag_items", lambda: DS + ROLLED_SQL)
+def d17_tag_items(spark, sf_dir):
+    """D17 content in long form: the set is the rows, the list repeats by ``occurrences``."""
+    return _rolled(spark, sf_dir)
+
+
 @query("b13_variation_projection", lambda: _p1_sql() + "\nWHERE k.entity_type IN ('misc', 'hashtags')")
 def b13_variation_projection(spark, sf_dir):
     """Projection of the variation to the person-like (misc) and hashtag entity types."""

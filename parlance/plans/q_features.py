@@ -56,9 +56,9 @@ def i4_word2vec_vectors(spark, sf_dir):
 
 @query("i5_subword_vectors")
 def i5_subword_vectors(spark, sf_dir):
-    """I5 (re-aimed): Word2Vec over tokens and their character 3–6-grams."""
-    docs = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    embed = FE.word2vec_embedder(docs, size=100, min_count=1, subword=True)
+    """I5 (re-aimed): Word2Vec over tokens and their character 3–6-grams, fitted on the main corpus."""
+    docs = _docs(spark, sf_dir)
+    embed = FE.word2vec_embedder(docs.where(F.col("lang") == S.MAIN_CITY), size=100, subword=True)
     return embed(docs).select("doc_id", F.size("features").alias("dim"))
 
 
@@ -120,24 +120,21 @@ def l1_sentiment_per_post(spark, sf_dir):
     return TP.sentiment_scores(model, _docs(spark, sf_dir)).select("doc_id", "sentiment")
 
 
-def _small_corpus(spark, sf_dir):
-    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+def _topic_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).where(F.col("lang") == S.MAIN_CITY).select("doc_id", "text")
 
 
 @query("l2_nmf_topics")
 def l2_nmf_topics(spark, sf_dir):
-    """L2: NMF (Frobenius, 3 topics, alpha .1, l1 ratio .5) on TF-IDF; top 10 words per topic."""
-    v = FE.tfidf(_small_corpus(spark, sf_dir), min_df=1, max_df=1.0).withColumnRenamed("tfidf", "value")
-    W, H, losses = TP.nmf(v, loss="frobenius")
-    return TP.top_words(TP.topic_weights(H), 10)
+    """L2: NMF (Frobenius, 3 topics, alpha .1, l1 ratio .5) on the TF-IDF of the main corpus (terms in 2
+    documents or more and 95 % or fewer, no stop words); top 10 words per topic."""
+    return TP.topic_registry()["NMF"](_topic_docs(spark, sf_dir), L.stopwords())
 
 
 @query("l3_plsi_topics")
 def l3_plsi_topics(spark, sf_dir):
     """L3: PLSI = NMF with the KL loss (multiplicative updates)."""
-    v = FE.tfidf(_small_corpus(spark, sf_dir), min_df=1, max_df=1.0).withColumnRenamed("tfidf", "value")
-    W, H, losses = TP.nmf(v, loss="kl")
-    return TP.top_words(TP.topic_weights(H), 10)
+    return TP.topic_registry()["PLSI"](_topic_docs(spark, sf_dir), L.stopwords())
 
 
 @query("l4_lda_topics")

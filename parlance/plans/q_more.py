@@ -25,22 +25,20 @@ def b12_noise_filter(spark, sf_dir):
             .groupBy("label").agg(F.count(F.lit(1)).alias("size")))
 
 
-@query("c4_cluster_members", lambda: f"""SELECT v.label, count(*) AS members, CAST(sum(d.n_chars) AS BIGINT) AS chars
-FROM ({V}) v JOIN documents d ON d.doc_id = v.doc_id WHERE v.label <> -1 GROUP BY v.label""")
+@query("c4_cluster_members", lambda: f"""SELECT v.label, d.doc_id, d.text
+FROM ({V}) v JOIN documents d ON d.doc_id = v.doc_id WHERE v.label <> -1""")
 def c4_cluster_members(spark, sf_dir):
-    """C4: labels joined to their texts by id (never by position), members per cluster, noise out."""
+    """C4: labels joined to their texts by id (never by position), noise out."""
     labels = _pts(spark, sf_dir).select(F.col("id").alias("doc_id"), "label").where(F.col("label") != -1)
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return labels.join(docs, "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("members"),
-                                                           F.sum("n_chars").alias("chars"))
+    return labels.join(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("label", "doc_id", "text")
 
 
-@query("d18_entity_lists", lambda: f"""SELECT entity_type, count(*) AS items, count(DISTINCT item) AS distinct_items
-FROM ({_entities_sql(S.POSTS_SQL, 'id')}) GROUP BY entity_type""")
+@query("d18_entity_lists", lambda: f"""SELECT entity_type, item, count(*) AS occurrences
+FROM ({_entities_sql(S.POSTS_SQL, 'id')}) GROUP BY entity_type, item""")
 def d18_entity_lists(spark, sf_dir):
+    """The entity list of each type in long form; the set is the rows, the list repeats by ``occurrences``."""
     ents = EN.extract_entities(S.posts(spark, sf_dir), "full_text", _gazetteer(spark, sf_dir), ["id"])
-    return ents.groupBy("entity_type").agg(F.count(F.lit(1)).alias("items"),
-                                           F.countDistinct("item").alias("distinct_items"))
+    return ents.groupBy("entity_type", "item").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 @query("d19_arg_best", lambda: RR + """SELECT algorithm, embedder, n_clusters AS best_k, sil AS best_silhouette FROM (
@@ -102,24 +100,29 @@ def a8_a9_tag_store(spark, sf_dir):
     return EN.rollup_summary(read_rollup_store(spark, path))
 
 
-@query("a12_markdown_sink", lambda: RR + "SELECT count(*) + 2 AS lines FROM (SELECT DISTINCT algorithm, embedder FROM result_rows)")
+@query("a12_markdown_sink", lambda: RR + """, r AS (SELECT DISTINCT algorithm, embedder, n_clusters, success FROM result_rows)
+SELECT '| algorithm | embedder | n_clusters | success |' AS value UNION ALL SELECT '|---|---|---|---|'
+UNION ALL SELECT '| ' || algorithm || ' | ' || embedder || ' | ' || n_clusters || ' | ' || success || ' |' FROM r""")
 def a12_markdown_sink(spark, sf_dir):
-    """A report written as a Markdown table (header, rule, one line per row)."""
-    from ..operators.reports import three_averages
-    rep = three_averages(S.result_rows(spark, sf_dir), "daily")
+    """A report written as a Markdown table (header, rule, one line per row) and read back line by line."""
+    rep = S.result_rows(spark, sf_dir).select("algorithm", "embedder", "n_clusters", "success").distinct()
     path = scratch(spark, "markdown")
     IO.write_markdown(rep, path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
+    return spark.read.text(path)
 
 
-@query("a15_matrix_csv", lambda: f"""SELECT features[1] AS sepal_length, features[2] AS sepal_width,
-  features[3] AS petal_length, features[4] AS petal_width FROM ({V})""")
+def _matrix_sql():
+    return "SELECT doc_id, " + ", ".join(f"features[{i + 1}] AS x{i}" for i in range(64)) + f" FROM ({V})"
+
+
+@query("a15_matrix_csv", _matrix_sql)
 def a15_matrix_csv(spark, sf_dir):
-    """A headerless numeric CSV (four columns, written from the vectors) read back with a schema."""
+    """A headerless numeric CSV (the id and all 64 dimensions of the vectors) read back with a schema."""
     v = _pts(spark, sf_dir)
     path = scratch(spark, "matrix")
-    v.select(*[F.col("features")[i].alias(c) for i, c in enumerate(IO.MATRIX_COLUMNS)]).write.csv(path)
-    return IO.read_matrix_csv(spark, path)
+    names = [f"x{i}" for i in range(64)]
+    v.select("id", *[F.col("features")[i].alias(c) for i, c in enumerate(names)]).write.csv(path)
+    return IO.read_matrix_csv(spark, path, ["doc_id", *names]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query("j12_dbscan_sweep")
@@ -135,11 +138,11 @@ def j12_dbscan_sweep(spark, sf_dir):
     for eps in (1.10, 1.15, 1.20):
         for ms in (5, 10):
             t0 = time.time()
-            lab = cut_lineage(dbscan(pts, eps, ms, block_size=256))
+            lab = cut_lineage(dbscan(pts, eps, ms))
             secs = time.time() - t0
             shape = Q.cluster_stats(lab.select("id", "label"))
             clean = lab.where(F.col("label") != -1).join(pts, "id")
-            sil = Q.silhouette(clean, block_size=256)
+            sil = Q.silhouette(clean)
             # both sides are one-row aggregates
             part = shape.withColumn("_k", F.lit(1)).join(sil.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
             part = part.select(F.lit(eps).alias("eps"), F.lit(ms).alias("min_samples"), F.lit(secs).alias("seconds"),
@@ -195,11 +198,11 @@ def _posts_modes(spark, sf_dir):
 @query("p5_embedding_measurement")
 def p5_embedding_measurement(spark, sf_dir):
     """P5: city modes (B5) → cleaner v1 (H8) → distinct (G1) → embedder (I6) → norm statistics
-    per (mode, embedder); the 2-d projection (I9) is the plotted data."""
+    per (mode, embedder)."""
     modes = _posts_modes(spark, sf_dir)
     corpus = (modes.select("mode", T.clean_v1("full_text").alias("text")).where(F.length("text") > 0)
               .dropDuplicates(["mode", "text"]).withColumn("id", F.xxhash64("mode", "text")))
-    vec = FE.hashing_embedder(64)(corpus).withColumn("embedder", F.lit("Hash 64"))
+    vec = FE.hashing_tf_embedder(64)(corpus).withColumn("embedder", F.lit("Hash 64"))
     return Q.norm_stats(vec, ["mode", "embedder"])
 
 
@@ -211,8 +214,8 @@ def p6_word2vec_sweep(spark, sf_dir):
     posts = S.posts(spark, sf_dir)
     corpus = K.clean_corpus(K.select_posts(posts, city=S.MAIN_CITY), "full_text").withColumn("id", F.xxhash64("text"))
     out = None
-    for size in (50, 100):
-        for window in (3, 5):
+    for size in (50, 100, 200):
+        for window in (3, 5, 7):
             vec = FE.word2vec_embedder(corpus, size=size, window=window, min_count=3)(corpus)
             proj = FE.projection_2d(vec.withColumn("label", F.lit(0)))
             part = proj.agg(F.stddev_pop("x").alias("sd_x"), F.stddev_pop("y").alias("sd_y"),
@@ -233,7 +236,7 @@ def p7_kmeans_topics(spark, sf_dir):
     posts = S.posts(spark, sf_dir)
     corpus = cut_lineage(K.text_of_posts(posts).select("id", T.clean_v1("full_text").alias("text"))
                          .where(F.length("text") > 0))
-    vec = cut_lineage(FE.hashing_embedder(64)(corpus))
+    vec = cut_lineage(FE.hashing_tf_embedder(64)(corpus))
     labels, _ = KM.kmeans(vec.select("id", "features"), 5)
     members = labels.join(corpus, "id").select(F.col("id").alias("doc_id"), "text", F.col("label").alias("cluster"))
     return topics_per_cluster(members, "cluster", k=3, top=5, max_iter=10)
@@ -241,13 +244,16 @@ def p7_kmeans_topics(spark, sf_dir):
 
 @query("a10_result_rows_store")
 def a10_result_rows_store(spark, sf_dir):
-    """A10: clustering result rows (success and failure shape) appended to a store partitioned by
-    frequency, read back typed."""
-    from .cluster_tags import cluster_tags
+    """A10: full result rows (success and failure shape, themes and sentiment maps) appended to a store
+    partitioned by frequency and read back; a second run finds nothing left to compute (C2)."""
+    from .cluster_tags import cluster_tags, without_computed
     rows = cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["rows"]
     path = scratch(spark, "results")
     IO.append_partitioned(rows, path, ("frequency",))
-    return spark.read.parquet(path).select("frequency", "tag", "embedder", "algorithm", "success", "n_clusters")
+    back = spark.read.schema(rows.schema).parquet(path)
+    left = without_computed(back.select("frequency", "tag", "embedder"), "DBSCAN", back)
+    return (back.drop("time").withColumn("theme_clusters", F.size(F.coalesce("themes", F.create_map().cast("map<int,array<string>>"))))
+            .drop("themes", "sentiment").unionByName(left.withColumn("success", F.lit(None).cast("boolean")), allowMissingColumns=True))
 
 
 # ---- G4, G5 ---------------------------------------------------------------------------------------------
@@ -283,8 +289,17 @@ def g4_vocabulary_union(spark, sf_dir):
 @query("g5_embedder_union")
 def g5_embedder_union(spark, sf_dir):
     """Base and reduced (50-d) embedders unioned by name; norm statistics per embedder."""
-    docs = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    base = FE.hashing_embedder(64)(docs).withColumn("embedder", F.lit("Hash 64"))
+    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    base = FE.hashing_tf_embedder(64)(docs).withColumn("embedder", F.lit("Hash 64"))
     reduced = FE.pca_reduce(base.drop("embedder"), k=50).withColumn("embedder", F.lit("Hash 64 (50-d)"))
     both = base.select("id", "features", "embedder").unionByName(reduced.select("id", "features", "embedder"))
     return Q.norm_stats(both, ["embedder"])
+
+
+@query("n3_topic_models", lambda: "SELECT * FROM (VALUES (0, 'NMF'), (1, 'PLSI'), (2, 'LDA')) t(position, model), (SELECT DISTINCT lang FROM documents) d")
+def n3_topic_models(spark, sf_dir):
+    """The topic models by name, offered for each language of the corpus."""
+    from ..operators.topics import topic_registry
+    langs = S.table(spark, sf_dir, "documents").select("lang").distinct()
+    names = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("model")) for i, n in enumerate(topic_registry())])
+    return langs.withColumn("m", F.explode(names)).select("m.position", "m.model", "lang")

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import reports as R
 from ..sources import io as IO
 from ..sources import tables as S
-from .registry import query
+from .registry import query as _register
+
+
+def query(name, sql=None):
+    """Register with a twin whose averages are taken in decimals, as the reports' are."""
+    twin = None if sql is None else lambda: R.exact_averages_sql(sql() if callable(sql) else sql)
+    return _register(name, twin)
 
 RR = f"WITH result_rows AS ({S.RESULT_ROWS_SQL})\n"
 FREQ = "daily"
@@ -82,8 +88,8 @@ def _three_sql(weighted):
     w = " * valid_entries / max(valid_entries) OVER ()" if weighted else ""
     extra = ", valid_entries" if weighted else ""
     return RR + f"""SELECT coalesce(s.model, g.embedder) AS model, algorithm,
-  (round_even((sil{w}) * 1000 + 1e-07, 0) / 1000) AS silhouette, (round_even((db{w}) * 1000 + 1e-07, 0) / 1000) AS davies_bouldin,
-  (round_even((ch{w}) * 1000 + 1e-07, 0) / 1000) AS calinski_harabasz{extra}
+  (round_even((sil{w}) * 1000, 0) / 1000) AS silhouette, (round_even((db{w}) * 1000, 0) / 1000) AS davies_bouldin,
+  (round_even((ch{w}) * 1000, 0) / 1000) AS calinski_harabasz{extra}
 FROM (SELECT algorithm, embedder, avg(sil_score) AS sil, avg(db_score) AS db, avg(ch_score) AS ch,
         count(sil_score) AS valid_entries FROM result_rows WHERE frequency = '{FREQ}'
       GROUP BY algorithm, embedder) g LEFT JOIN {SHORT} s ON s.embedder = g.embedder"""
@@ -103,8 +109,8 @@ def _nature_sql():
     algs = ", ".join(f"('{a}')" for a in FIXTURE_ALGORITHMS)
     valid = "sil_score IS NOT NULL AND {c} IS NOT NULL"
     return RR + f"""SELECT coalesce(s.model, grid.embedder) AS model, grid.algorithm,
-  (round_even((n_clusters) * 1000 + 1e-07, 0) / 1000) AS n_clusters, (round_even((noise_percentage) * 1000 + 1e-07, 0) / 1000) AS noise_percentage,
-  (round_even((avg_cluster_size) * 1000 + 1e-07, 0) / 1000) AS avg_cluster_size
+  (round_even((n_clusters) * 1000, 0) / 1000) AS n_clusters, (round_even((noise_percentage) * 1000, 0) / 1000) AS noise_percentage,
+  (round_even((avg_cluster_size) * 1000, 0) / 1000) AS avg_cluster_size
 FROM (SELECT DISTINCT embedder, a.algorithm FROM result_rows CROSS JOIN (VALUES {algs}) a(algorithm)
       WHERE frequency = '{FREQ}') grid
 LEFT JOIN (SELECT algorithm, embedder,
@@ -130,9 +136,9 @@ def d11_cluster_nature(spark, sf_dir):
 def c3_metrics_aligned(spark, sf_dir):
     """Metric frames with different row filters aligned by a full outer join on the keys."""
     rows = _rows(spark, sf_dir)
-    a = rows.where(F.col("tag") < "2024-01-16").groupBy(*R.KEYS).agg(F.avg("sil_score").alias("sil_score"))
+    a = rows.where(F.col("tag") < "2024-01-16").groupBy(*R.KEYS).agg(R.exact_avg("sil_score").alias("sil_score"))
     b = (rows.where((F.col("tag") >= "2024-01-16") & F.col("sil_score").isNotNull())
-         .groupBy(*R.KEYS).agg(F.avg("n_clusters").alias("n_clusters")))
+         .groupBy(*R.KEYS).agg(R.exact_avg("n_clusters").alias("n_clusters")))
     return a.join(b, R.KEYS, "full")
 
 
@@ -195,7 +201,7 @@ def b9_exclusions(spark, sf_dir):
 
 
 @query("b10_case_study", lambda: RR + f"""SELECT coalesce(s.model, g.embedder) AS model, algorithm,
-  (round_even((sil) * 1000 + 1e-07, 0) / 1000) AS silhouette, (round_even((db) * 1000 + 1e-07, 0) / 1000) AS davies_bouldin, (round_even((ch) * 1000 + 1e-07, 0) / 1000) AS calinski_harabasz
+  (round_even((sil) * 1000, 0) / 1000) AS silhouette, (round_even((db) * 1000, 0) / 1000) AS davies_bouldin, (round_even((ch) * 1000, 0) / 1000) AS calinski_harabasz
 FROM (SELECT algorithm, embedder, avg(sil_score) AS sil, avg(db_score) AS db, avg(ch_score) AS ch
       FROM result_rows WHERE tag = '2024-01-10' GROUP BY ALL) g LEFT JOIN {SHORT} s ON s.embedder = g.embedder""")
 def b10_case_study(spark, sf_dir):
@@ -203,9 +209,9 @@ def b10_case_study(spark, sf_dir):
     return R.three_averages(_rows(spark, sf_dir).where(F.col("tag") == "2024-01-10"), FREQ)
 
 
-@query("b11_frequency_rows", lambda: RR + f"SELECT count(*) AS rows FROM result_rows WHERE frequency = '{FREQ}'")
+@query("b11_frequency_rows", lambda: RR + f"SELECT * FROM result_rows WHERE frequency = '{FREQ}'")
 def b11_frequency_rows(spark, sf_dir):
-    return R.of_frequency(_rows(spark, sf_dir), FREQ).agg(F.count(F.lit(1)).alias("rows"))
+    return R.of_frequency(_rows(spark, sf_dir), FREQ)
 
 
 @query("b16_display_columns", lambda: RR + """SELECT frequency, tag, algorithm, embedder, tweets - valid_tweets AS ignored,
@@ -244,6 +250,56 @@ def p3_report_tables(spark, sf_dir):
     return spark.read.schema(rep.schema).option("header", True).csv(out)
 
 
+REPORT_COLUMNS = {
+    "consolidated": ["sil_score", "valid_entries", "weighted_score"],
+    "averages": ["silhouette", "davies_bouldin", "calinski_harabasz"],
+    "weighted": ["silhouette", "davies_bouldin", "calinski_harabasz", "valid_entries"],
+    "nature": ["n_clusters", "noise_percentage", "avg_cluster_size"],
+    "case study": ["silhouette", "davies_bouldin", "calinski_harabasz"],
+}
+CASE_TAG = "2024-01-10"
+
+
+def _p3_all_sql():
+    assert RR.startswith("WITH result_rows AS")
+    rows = (RR.replace("WITH result_rows AS", "WITH all_rows AS", 1).rstrip()
+            + ", result_rows AS (SELECT * FROM all_rows WHERE algorithm <> 'error' AND NOT contains(embedder, '3'))\n")
+    case = (_three_sql(False)[len(RR):]).replace(f"WHERE frequency = '{FREQ}'", f"WHERE tag = '{CASE_TAG}'")
+    bodies = {"consolidated": f"SELECT embedder AS model, * FROM ({CONSOLIDATED_SQL})", "averages": _three_sql(False)[len(RR):],
+              "weighted": _three_sql(True)[len(RR):], "nature": _nature_sql()[len(RR):], "case study": case}
+    parts = [f"SELECT '{name}' AS report, model, algorithm, unnest([{', '.join(repr(c) for c in cols)}]) AS metric, "
+             f"unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in cols)}]) AS value FROM ({bodies[name]})"
+             for name, cols in REPORT_COLUMNS.items()]
+    return rows + "\nUNION ALL\n".join(parts)
+
+
+@query("p3_all_reports", _p3_all_sql)
+def p3_all_reports(spark, sf_dir):
+    """P3 in full: result CSV → exclusions (B9) → D9, D10, D10w, D11 and the case study (B10), each written
+    as CSV (A14), read back, and given here in long form."""
+    path = _scratch(spark)
+    IO.write_result_csv(_rows(spark, sf_dir), path)
+    rows = R.exclude(IO.read_result_csv(spark, path), "error", "3")
+    reports = {
+        "consolidated": R.consolidated(rows, FREQ).withColumnRenamed("embedder", "model"),
+        "averages": R.three_averages(rows, FREQ),
+        "weighted": R.three_averages(rows, FREQ, weighted=True),
+        "nature": R.cluster_nature(rows, FREQ, FIXTURE_ALGORITHMS),
+        "case study": R.three_averages(rows.where(F.col("tag") == CASE_TAG), FREQ),
+    }
+    out = None
+    for name, rep in reports.items():
+        target = f"{path}_{name.replace(' ', '_')}"
+        rep.write.mode("overwrite").option("header", True).csv(target)
+        back = spark.read.schema(rep.schema).option("header", True).csv(target)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                    for c in REPORT_COLUMNS[name]]))
+        part = back.select(F.lit(name).alias("report"), "model", "algorithm", cells.alias("c")).select(
+            "report", "model", "algorithm", "c.metric", "c.value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("p4_consolidated_json", lambda: RR + f"""SELECT CAST(to_json(struct_pack(algorithm := algorithm, embedder := embedder,
   sil_score := round(sil_score, 6), valid_entries := valid_entries)) AS VARCHAR) AS json FROM ({CONSOLIDATED_SQL})""")
 def p4_consolidated_json(spark, sf_dir):

@@ -13,8 +13,7 @@ from .registry import query
 
 
 def _stream(spark, sf_dir, name):
-    schema = S.table(spark, sf_dir, name).schema
-    return M.file_stream(spark, sf_dir, f"{name}.parquet", schema)
+    return M.file_stream(spark, sf_dir, name, S.table(spark, sf_dir, name).schema)
 
 
 @query("m1_ingest", lambda: f"""SELECT id, city_tag FROM ({S.POSTS_SQL}) p
@@ -57,34 +56,39 @@ def m2_early_stop_limit3(spark, sf_dir):
     return _m2(spark, sf_dir, 3)
 
 
-def _m3_sql(width_days, origin):
+def _m3_sql(unit, width):
     return f"""WITH p AS ({S.POSTS_SQL}),
-w AS (SELECT time_bucket(INTERVAL {width_days} DAY, created_at, TIMESTAMP '{origin}') AS window_start, count(*) AS posts
-      FROM p GROUP BY 1)
+w AS (SELECT date_trunc('{unit}', created_at) AS window_start, count(*) AS posts FROM p GROUP BY 1)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start,
-  strftime(window_start + INTERVAL {width_days} DAY, '%Y-%m-%d %H:%M:%S') AS window_end, posts FROM w
-WHERE window_start + INTERVAL {width_days} DAY <= (SELECT max(created_at) FROM p)"""
+  strftime(window_start + INTERVAL {width}, '%Y-%m-%d %H:%M:%S') AS window_end, posts FROM w
+WHERE window_start + INTERVAL {width} <= (SELECT max(created_at) FROM p)"""
 
 
 def _m3(spark, sf_dir, frequency):
     posts = S.posts_from(_stream(spark, sf_dir, "documents"))
-    out = M.scratch(spark, f"m3-{frequency}")
-    M.drain(M.calendar_windows(posts, frequency), out, M.scratch(spark, "m3-ckpt"))
-    res = spark.read.parquet(out)
+    store = M.scratch(spark, f"m3-{frequency}")
+    M.count_windows(posts, store, frequency, M.scratch(spark, "m3-ckpt")).awaitTermination()
+    today = S.posts(spark, sf_dir).agg(F.max("created_at")).first()[0]     # the newest post plays "now"
+    res = M.closed_windows(spark, store, frequency, today)
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "posts")
 
 
-@query("m3_daily_windows", lambda: _m3_sql(1, "1970-01-01"))
+@query("m3_daily_windows", lambda: _m3_sql("day", "1 DAY"))
 def m3_daily_windows(spark, sf_dir):
     return _m3(spark, sf_dir, "daily")
 
 
-@query("m3_weekly_windows", lambda: _m3_sql(7, "1970-01-05"))
+@query("m3_weekly_windows", lambda: _m3_sql("week", "7 DAY"))
 def m3_weekly_windows(spark, sf_dir):
     return _m3(spark, sf_dir, "weekly")
 
 
+@query("m3_monthly_windows", lambda: _m3_sql("month", "1 MONTH"))
+def m3_monthly_windows(spark, sf_dir):
+    return _m3(spark, sf_dir, "monthly")
+
+
 @query("m4_incremental_rollup", lambda: f"""WITH d AS ({S.DAY_SETS_SQL})
 SELECT 'daily' AS frequency, tag, entity_type, CAST(sum(c) AS BIGINT) AS items_amount, count(*) AS unique_amount
 FROM (SELECT tag, entity_type, item, count(*) AS c FROM d GROUP BY ALL) GROUP BY ALL""")

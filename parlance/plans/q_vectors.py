@@ -38,18 +38,18 @@ SELECT CASE WHEN count(b) > 0 THEN avg(CASE WHEN a IS NULL THEN 0 WHEN greatest(
 
 @query("k1_silhouette", lambda: _silhouette_sql(V))
 def k1_silhouette(spark, sf_dir):
-    return Q.silhouette(_pts(spark, sf_dir), block_size=256)
+    return Q.silhouette(_pts(spark, sf_dir))
 
 
 @query("k1_silhouette_cosine", lambda: _silhouette_sql(V, "cosine"))
 def k1_silhouette_cosine(spark, sf_dir):
-    return Q.silhouette(_pts(spark, sf_dir), metric="cosine", block_size=256)
+    return Q.silhouette(_pts(spark, sf_dir), metric="cosine")
 
 
 @query("k1_silhouette_with_noise", lambda: _silhouette_sql(VN))
 def k1_silhouette_with_noise(spark, sf_dir):
     """Noise kept as its own cluster −1 (as in the parameter experiments)."""
-    return Q.silhouette(_pts(spark, sf_dir, noise=True), block_size=256)
+    return Q.silhouette(_pts(spark, sf_dir, noise=True))
 
 
 CENT_SQL = """ex AS (SELECT label, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM v),
@@ -149,28 +149,28 @@ SELECT i AS id, CAST(rn AS INTEGER) AS rank, j AS neighbour, dist AS distance FR
 
 @query("c9_knn", lambda: _knn_sql(V, 3))
 def c9_knn(spark, sf_dir):
-    return NB.knn(_pts(spark, sf_dir), k=3, block_size=256)
+    return NB.knn(_pts(spark, sf_dir), k=3)
 
 
 @query("c9_knn_cosine", lambda: _knn_sql(V, 1, "cosine"))
 def c9_knn_cosine(spark, sf_dir):
-    return NB.knn(_pts(spark, sf_dir), k=1, metric="cosine", block_size=256)
+    return NB.knn(_pts(spark, sf_dir), k=1, metric="cosine")
 
 
 @query("c10_range_pairs", lambda: f"""WITH v AS ({V})
 SELECT a.doc_id AS id, b.doc_id AS other, list_distance(a.features, b.features) AS distance
 FROM v a JOIN v b ON a.doc_id < b.doc_id AND list_distance(a.features, b.features) <= {EPS}""")
 def c10_range_pairs(spark, sf_dir):
-    return NB.range_pairs(_pts(spark, sf_dir), EPS, block_size=256)
+    return NB.range_pairs(_pts(spark, sf_dir), EPS)
 
 
 @query("f7_knn_curve", lambda: f"""SELECT CAST(row_number() OVER (ORDER BY distance) - 1 AS BIGINT) AS position, distance
 FROM ({_knn_sql(V, 1)})""")
 def f7_knn_curve(spark, sf_dir):
-    nn = NB.knn(_pts(spark, sf_dir), k=1, block_size=256)
+    nn = NB.knn(_pts(spark, sf_dir), k=1)
     return NB.sorted_curve(nn.select("distance"))
 
 
 @query("j6_dbscan", lambda: dbscan_sql(V, EPS, MIN_SAMPLES))
 def j6_dbscan(spark, sf_dir):
-    return dbscan(_pts(spark, sf_dir), EPS, MIN_SAMPLES, block_size=256)
+    return dbscan(_pts(spark, sf_dir), EPS, MIN_SAMPLES)

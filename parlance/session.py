@@ -62,14 +62,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
+def cut_lineage(df):
     """Cut the lineage of an iterative step by writing it as a parquet table under the shared
     checkpoint folder and reading it back (never a local checkpoint): the result survives the loss
     of an executor, and its size statistics come from the files — a ``checkpoint()``ed frame would
     carry the size estimate of its whole origin plan forward, which grows without bound over many
-    iterations of joins."""
+    iterations of joins.  ``release`` deletes the table once nothing reads it any more."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def release(*frames) -> None:
+    """Delete the tables of frames that came from ``cut_lineage`` (others are left alone).  Call it when
+    whatever was computed from them has itself been written."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            p, fs = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
+            df._written_to = None

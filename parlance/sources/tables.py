@@ -24,22 +24,15 @@ DAYS_SPAN = 60                        # posts spread over 60 days
 NOISE_EVERY = 7                       # vectors_noise: vec_id % 7 = 0 is noise
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
+# A session setting for inputs of a few files: scans are dealt out over so many partitions by their first
+# column.  Unset (the default, and the right choice for tables of many files), a scan stays as it is.
+SCAN_PARTITIONS = "spark.parlance.scanPartitions"
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
 
-    A small table stored as a single Parquet row group is read by ONE task, which serialises the
-    CPU-heavy text work that follows.  When a table has fewer files than cores, its scan is
-    hash-repartitioned on its key (first column) to the default parallelism; a large table (many
-    files) is left untouched — no extra shuffle at scale.  Projections and filters still reach the scan below the exchange."""
-    par = int(df.sparkSession.sparkContext.defaultParallelism)
-    # a file usually holds few row groups: fewer files than cores means fewer real splits than cores
-    if len(df.inputFiles()) >= par:
-        return df
-    return df.repartition(par, df.columns[0])
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts), df.columns[0]) if parts else df
 
 
 def _created_at(doc_id: Column) -> Column:

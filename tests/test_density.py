@@ -110,3 +110,22 @@ def test_nearest_place_matches_brute_force(spark):
     q = spark.createDataFrame(places, "place_id long, lat double, lon double")
     got = {r["pid"]: r["place_id"] for r in nearest_place(p, q, 1500.0).collect()}
     assert got == want
+
+
+def test_mst_with_ties_and_large_ids(spark):
+    """Grid points have many equal distances; ids lie above 2^31."""
+    base = 1 << 40
+    pts = [(base + 10 * i + j, [float(i), float(j)]) for i in range(5) for j in range(5)]
+    df = spark.createDataFrame(pts, "id long, features array<double>")
+    from parlance.clustering.hdbscan import mst_density_cut
+    edges = mst(df, 2, block_size=6).collect()
+    assert len(edges) == 24 and abs(sum(e.w for e in edges) - 24.0) < 1e-9
+    labels = mst_density_cut(df, min_cluster_size=3, cut_distance=1.0, block_size=6).collect()
+    assert {r.label for r in labels} == {0}
+
+
+def test_cosine_of_a_zero_vector_is_one():
+    import numpy as np
+    from parlance.operators.pairs import distances
+    d = distances(np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[0.0, 0.0], [0.0, 2.0]]), "cosine")
+    assert d.tolist() == [[1.0, 1.0], [1.0, 1.0]]
