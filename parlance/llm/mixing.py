@@ -120,7 +120,7 @@ def _round(table: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarra
     return s[:k], s[k:-2].reshape(k, k), s[-2], s[-1]
 
 
-def fit_rates(table: DataFrame, model: Model, targets: dict[str, float], tolerance: float = 1e-5, rounds: int = 200) -> Model:
+def fit_rates(table: DataFrame, model: Model, targets: dict[str, float], tolerance: float = 1e-4, rounds: int = 500) -> Model:
     """``model`` with the directions that bring the shares to the targets; stops when the rates stand still."""
     k = len(model.domains)
     b = np.array([targets[d] for d in model.domains], float)

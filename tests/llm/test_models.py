@@ -118,7 +118,7 @@ def test_replay_is_projected_gradient():
     rng = np.random.default_rng(2)
     p = rng.dirichlet([1, 1, 1], 40)
     t = rng.integers(1, 50, 40) / 1000
-    b = np.array([0.9, 0.05, 0.05])
+    b = np.array([0.6, 0.25, 0.15])
     m = np.linalg.inv((p * t[:, None]).T @ p / t.sum())
     r, steps, loss = np.ones(40), [], []
     for _ in range(60):
