@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import table  # noqa: F401 — the given tables, for the queries
 
 # Bytes of text that one vectorised kernel call works on; a single longer text is a call of its own.
 KERNEL_BYTES = 2 << 20
@@ -23,14 +24,10 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     survives the loss of an executor."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def slices(column: pa.Array, limit: int = KERNEL_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of a binary column that hold about ``limit`` bytes each (one row at least)."""
     n = len(column)

@@ -3,6 +3,7 @@
 A window is 20 consecutive words of one document.  Its minimiser is the smallest hash among its
 6-word runs; consecutive windows that share a minimiser form one super-k-mer, which is named by it.
 
+0. Of documents with the same words only the first goes on; the others repeat it from end to end.
 1. Every document is cut into super-k-mers (narrow rows: minimiser, place, number of windows).  Equal
    windows have equal minimisers, so only super-k-mers whose minimiser occurs twice can hold a
    repeated window; the others go no further.
@@ -277,7 +278,11 @@ def repeated_passages(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, with_te
             .select("doc_id", F.shiftright("at", 32).alias("th"),
                     F.struct("mini", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), "n").alias("ref"))
             .groupBy("doc_id", "th").agg(F.collect_set("ref").alias("refs")))
-    suspects = stored(base.join(refs, ["doc_id", "th"]))
+    whole = stored(mapped(base, _whole, "doc_id bigint, th bigint, n_words bigint, whole_sha256 string"))
+    first = whole.groupBy("whole_sha256", "n_words").agg(F.min("doc_id").alias("first"))
+    whole = (whole.join(first, ["whole_sha256", "n_words"])
+             .withColumn("copy", (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)))
+    suspects = stored(base.join(refs.join(whole.where("copy"), ["doc_id", "th"], "left_anti"), ["doc_id", "th"]))
     packed = mapped(suspects, _pack, "mini bigint, doc_id bigint, at bigint, n int, packed binary")
     found = stored(packed.repartition("mini").sortWithinPartitions("mini", "packed", "doc_id", "at")
                    .mapInArrow(_count(bucket_bytes), "doc_id bigint, at bigint, n int, packed string"))
@@ -290,11 +295,11 @@ def repeated_passages(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, with_te
               .select("doc_id", "th", F.col("r.first").alias("first"), F.col("r.n").alias("n")))
     cut = mapped(suspects.select("doc_id", "th", "text").join(ranges, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]),
                  _keep(with_text), "doc_id bigint, th bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    whole = mapped(base, _whole, "doc_id bigint, th bigint, n_words bigint, whole_sha256 string")
     out = whole.join(cut, ["doc_id", "th"], "left").select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept_text")
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
     return out if with_text else out.drop("kept_text")
 
 
