@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sub_rows: int = SUB
     split = (members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total")).where("rows > 1")
              .select("block", F.greatest(F.ceil(F.col("rows") / sub_rows), F.ceil(F.col("total") / sub_shingles)).cast("int").alias("parts")))
     dealt = members.join(split, "block").select("block", "doc_id", "parts")
-    arrays = mapped(known.join(dealt, "doc_id").select("block", "doc_id", "parts", "text").dropDuplicates(["doc_id", "text"]),
+    # the members grow with the corpus: the texts are joined by a sort at every size
+    arrays = mapped(known.join(dealt.hint("merge"), "doc_id").select("block", "doc_id", "parts", "text").dropDuplicates(["doc_id", "text"]),
                     _arrays, "block bigint, doc_id bigint, parts int, shingles array<bigint>")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     pairs = (arrays.withColumn("part", mine)
