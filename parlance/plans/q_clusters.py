@@ -46,7 +46,7 @@ def j2_k_table(spark, sf_dir):
 
 @query("j3_kmeans_without_noise")
 def j3_kmeans_without_noise(spark, sf_dir):
-    return KM.kmeans_without_noise(_pts(spark, sf_dir).drop("label"), 5)
+    return KM.kmeans_without_noise(_pts(spark, sf_dir).drop("label"))
 
 
 @query("j4_minibatch_kmeans")
