@@ -19,6 +19,7 @@ without ordinary labelled rows every score is 0.  Repeated rows are scored one b
 from __future__ import annotations
 
 import heapq
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,8 @@ from .common import stored, to_bytes
 PER_LABEL = 6000
 DICT_BYTES, LEVEL, REPEATS = 4096, 19, 3
 MOST_WORDS = 20_000          # windows that a dictionary is trained on
-LEAST_DOCS, LEAST_RATIO = 3, 6.0
+SIGN_BYTES = 8192            # of the toxic words that its dictionary holds as a whole
+LEAST_SHARE, LEAST_RATIO = 0.011, 10.0    # of the toxic documents (three at least) that have a sign, and times as often
 THRESHOLD = 0.3
 HIGH = 2.0                   # a log-odds that counts as high
 CACHE = 400_000              # word values a task remembers; beyond, it starts anew
@@ -54,13 +56,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def trained(windows: list[tuple[bytes, int]]) -> bytes:
-    """A dictionary of windows that occur so many times."""
-    samples = [b" " + w + b" " for w, n in windows for _ in range(min(n, 200))]
+def trained(windows: list[tuple[bytes, int]], whole: int = 0) -> bytes:
+    """A dictionary of windows that occur so many times; the first ones, up to ``whole`` bytes, are in it as a
+    whole, the most frequent at the end, where a match is cheapest."""
+    # training looks for the best piece of each stretch of the samples: mixed, all stretches are alike
+    samples = [b" " + w + b" " for _, w in sorted((zlib.crc32(b"%d %s" % (k, w)), w) for w, n in windows for k in range(min(n, 200)))]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, k=32, d=6, level=LEVEL).as_bytes()
+        out = zstandard.train_dictionary(DICT_BYTES, samples, k=32, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:      # too few windows to train on: they are the dictionary
-        return b"".join(samples)[-DICT_BYTES:].rjust(16, b" ")
+        out = b"".join(samples)[-DICT_BYTES:].rjust(16, b" ")
+    return out + b"".join(b" " + w + b" " for w, _ in reversed(windows))[-whole:] if whole else out
 
 
 class Lengths:
@@ -152,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
     def most(df: DataFrame, by: str) -> list[tuple[bytes, int]]:
         return [(bytes(r.w), r[by]) for r in df.orderBy(F.desc(by), "w").limit(MOST_WORDS).collect()]
-    signs = most(counted.where((F.col("t") >= LEAST_DOCS) & (ratio > LEAST_RATIO)), "t")
+    signs = most(counted.where((F.col("t") >= max(3, round(LEAST_SHARE * size[1]))) & (ratio > LEAST_RATIO)), "t")
     plain = most(counted.where("o > 0"), "o")
     if not signs or not plain:
         return None
-    toxic, ordinary = trained(signs), trained(plain)
+    toxic, ordinary = trained(signs, SIGN_BYTES), trained(plain)
 
     def cells(batches):
         lengths = Lengths(toxic, ordinary)
