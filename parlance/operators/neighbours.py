@@ -80,7 +80,9 @@ def sorted_curve(dist: DataFrame, value_col: str = "distance") -> DataFrame:
     """values sorted ascending with their 0-based position (range partitions + per-partition
     offsets — no single-partition window)."""
     from .order import with_positions
-    return with_positions(dist.select(value_col), [value_col]).select("position", value_col)
+    # equal values (every exact duplicate has 0) are spread by a second key
+    keyed = dist.select(value_col, F.monotonically_increasing_id().alias("_key"))
+    return with_positions(keyed, [value_col, "_key"]).select("position", value_col)
 
 
 # ---- C10 pairs within eps, and the counts / forests DBSCAN needs ----------------------------------------

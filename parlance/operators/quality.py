@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import MIN_CLUSTER_SIZE
 from . import pairs as PK
+from .order import with_positions
 
 
 def _schema(group_cols, dtypes: dict, extra: str) -> str:
@@ -193,8 +194,11 @@ def remove_small_clusters(labels: DataFrame, group_cols: Sequence[str] = (), id_
     so a huge cluster is never gathered into one task."""
     stats = labels.groupBy(*group_cols, "label").agg(F.count(F.lit(1)).alias("_size"), F.min(id_col).alias("_first"))
     keep = stats.where((F.col("label") != -1) & (F.col("_size") >= min_size))
-    w = Window.partitionBy(*group_cols).orderBy("_first") if group_cols else Window.orderBy("_first")
-    renum = keep.select(*group_cols, "label", (F.dense_rank().over(w) - 1).cast("int").alias("_new"))
+    if group_cols:
+        w = Window.partitionBy(*group_cols).orderBy("_first")
+        renum = keep.select(*group_cols, "label", (F.dense_rank().over(w) - 1).cast("int").alias("_new"))
+    else:   # one group: its clusters are numbered without a single-task window
+        renum = with_positions(keep.select("label", "_first"), ["_first"], "_new").select("label", F.col("_new").cast("int").alias("_new"))
     out = labels.join(renum, [*group_cols, "label"], "left")
     return out.withColumn("label", F.coalesce(F.col("_new"), F.lit(-1)).cast("int")).drop("_new")
 
