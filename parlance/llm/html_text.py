@@ -2,15 +2,17 @@
 
 Markup is stripped into lines: a block element begins a line, and each line has its length and the length
 of its link text.  Parts that are not text of the page (scripts, styles, menus, headers, footers, sidebars,
-forms, notices, adverts, comments; by element, or by the words of class, id and role) leave empty lines.
+forms, notices, adverts, comments; by element, or by whole words of class, id and role) leave empty lines.
 The lengths are summed over sliding windows of lines.  A surge is where the sum rises over a threshold, a
-dive where it falls back to nothing; what lies between them is a passage.  Where the page marks an article
-(or a main part), the passages of the one with the most text are kept; else the longest passage and those
-that are at least a third as long, link lists left out.
+dive where it falls back to nothing; what lies between them is a passage.  Where the page marks articles or
+a main part, all text of all of them is kept.  Else every passage from the first surge to the last dive is
+kept, and also the short ones before and after in the element (not the body) that holds them; link lists
+are left out.  A page of which nothing is left is read without the words, then without the elements as well.
 
 Blocks are joined in page order; white space inside a block is one space and character references are
-decoded.  Cases: null or empty html, or no text: empty string.  Tags that are never closed end with the
-element around them.  Other columns are kept; an input column named text or n_chars is replaced.
+decoded.  Cases: null or empty html, or no text: empty string.  Tags that are never closed end where HTML
+implies it (p, li, dd, dt, cells, rows, headings), else with the element around them.  Other columns are
+kept; an input column named text or n_chars is replaced.
 """
 
 from __future__ import annotations
@@ -27,33 +29,55 @@ GAP = WINDOW          # empty lines that a left-out part leaves, so that passage
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td
 tfoot th thead title tr ul""".split())
-LEFT_OUT = frozenset("nav footer aside form button select textarea dialog menu fieldset label input figcaption iframe object canvas map audio video".split())
+LEFT_OUT = frozenset("nav footer aside form button select textarea dialog menu fieldset label input iframe object canvas map audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|head|title|iframe|object|textarea"
-#: Words of class, id or role that mark a part as no text of the page.
-MARKS = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|
-copyright|disqus|footers?|gdpr|header|masthead|menus?|modal|navbar|nav|navigation|newsletter|notices?|pagination|pager|popups?|promos?|
-promotions?|related|recommended|replies|reply|search|share|sharing|sidebars?|sidenav|signup|skip|social|sponsor(?:ed|s)?|subscribe|
-subscription|tags|teasers?|toolbar|topbar|widgets?|contentinfo|complementary)(?:$|[\s_-])""".replace("\n", ""), re.I)
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|"""
+RAW = "script|style|noscript|template|svg|title|iframe|object|textarea"
+#: Words of class, id or role that mark a part as no text of the page: all pieces of a word are one of these or say nothing.
+MARKS = frozenset("""ad ads advert adverts advertisement advertisements adsense banner banners breadcrumb breadcrumbs comment comments
+commentlist consent cookie cookies copyright disqus footer footers gdpr header hidden masthead menu menus modal navbar nav navigation newsletter
+notice notices pagination pager popup popups promo promos promotion promotions related recommended replies reply search share sharing
+sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription tags teaser teasers toolbar topbar widget
+widgets contentinfo complementary""".split())
+NEUTRAL = re.compile(r"area|bar|block|bottom|box|button|buttons|container|form|icons|inner|left|link|links|list|main|outer|page|panel|primary|"
+                     r"right|secondary|section|site|slot|top|unit|wrap|wrapper|[0-9]+(?:x[0-9]+)?|")
+#: Start tag: the elements that it ends, unless one of the second lies between.
+CELLS = ("table", "td", "th", "caption")
+LISTS = (*CELLS, *"""article aside blockquote button details dir dl fieldset figure footer form header main menu nav ol section ul""".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ROWS = ("tr", "td", "th", "caption")
+ENDS = {"a": (("a",), CELLS), "li": (("li",), LISTS), "dd": (("dd", "dt"), LISTS), "dt": (("dd", "dt"), LISTS),
+        "td": (("td", "th", "caption"), ("table",)), "th": (("td", "th", "caption"), ("table",)), "tr": (ROWS, ("table",)),
+        **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", *ROWS), ("table",)))}
+ENDS_P = BLOCKS - frozenset("html body legend optgroup option title caption tbody td tfoot th thead tr".split())
+HOLDERS = frozenset("body center div html section td".split())     # elements that may hold a page's content
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg\b(?:"[^"]*"|'[^']*'|[^'">])*/>|"""
+                   rf"""<({RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|"""
                    r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+NOT_SHOWN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, link characters, number of the article or main part that holds it or 0) of each line of the page."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(page: str, filters: int = 2) -> tuple[list[tuple[str, int, int, int]], list[list]]:
+    """(text, link characters, number of the article or main part that holds it or 0, element) of each line of the
+    page, and [name, element around it, first line, line after the last] of each element.
+
+    ``filters``: 2 leaves parts out by element and by words, 1 by element, 0 none."""
+    lines: list[tuple[str, int, int, int]] = []
+    elements: list[list] = []
     text: list[str] = []
     linked = 0
-    skipped = None             # the left-out element and how many of its name are open in it
-    parts: list[tuple[str, int]] = []     # open article and main elements
+    stack: list[tuple[str, int]] = []     # open elements
+    where: dict[str, list[int]] = {}      # their places in the stack by name
+    skipped = None                        # the place of the left-out element
+    parts: list[int] = []                 # open article and main elements
     count = 0
     in_link = False
 
     def end_line():
         nonlocal linked
-        lines.append((" ".join(entities.unescape("".join(text)).split()), linked, parts[-1][1] if parts else 0))
+        lines.append((" ".join(entities.unescape("".join(text)).split()), linked, parts[-1] if parts else 0, stack[-1][1] if stack else -1))
         text.clear()
         linked = 0
 
@@ -64,6 +88,42 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if in_link:
                 linked += len(piece.strip())
 
+    def last(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    def push(name: str):
+        nonlocal count
+        where.setdefault(name, []).append(len(stack))
+        elements.append([name, stack[-1][1] if stack else -1, len(lines), None])
+        stack.append((name, len(elements) - 1))
+        if name in ("article", "main"):
+            count += 1
+            parts.append(count)
+
+    def end(place: int):
+        """The element at this place ends, and those in it."""
+        nonlocal skipped
+        while len(stack) > place:
+            name, k = stack.pop()
+            where[name].pop()
+            elements[k][3] = len(lines)
+            if name in ("article", "main"):
+                parts.pop()
+        if skipped is not None and place <= skipped:
+            skipped = None
+
+    def ended_by(name: str) -> int:
+        """The place of the outermost element that this start tag ends."""
+        place = len(stack)
+        if name in ENDS_P and last(("p",)) > last((*CELLS, "button")):
+            place = last(("p",))
+        if name in ENDS:
+            ends, fence = ENDS[name][0], last(ENDS[name][1])
+            place = min([place, *(where[n][-1] for n in ends if where.get(n) and where[n][-1] > fence)])
+        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            place = min(place, len(stack) - 1)
+        return place
+
     at = 0
     for m in TOKEN.finditer(page):
         add(page[at:m.start()])
@@ -74,52 +134,51 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         name, closing, attributes = m[3].lower(), bool(m[2]), m[4]
         empty = name in VOID or attributes.endswith("/")
-        if skipped is not None:
-            if name == skipped[0] and not empty:
-                depth = skipped[1] + (-1 if closing else 1)
-                skipped = (name, depth) if depth else None
-            elif closing and parts and name == parts[-1][0]:
-                skipped = None                # the part around it ends: it was never closed
+        if skipped is None:
+            if name == "a":
+                in_link = not closing
+            if name == "br":
+                add(" ")
+            elif name in BLOCKS:
                 end_line()
-                parts.pop()
+        if closing:
+            place = last(HEADINGS if name in HEADINGS else (name,))
+            fence = (-1 if name in ("article", "main", "body", "html", "table") else last(("table",)) if name in ENDS["tbody"][0]
+                     else last((*CELLS, "ul", "ol", "menu", "dir")) if name == "li" else last(CELLS))
+            if place > fence:
+                end(place)
             continue
-        if name == "a":
-            in_link = not closing
-        if not closing and not empty and (name in LEFT_OUT or name == "header" and not parts
-                                          or name not in ("body", "html", "main") and _marked(name, attributes, bool(parts))):
-            end_line()
-            lines.extend([("", 0, parts[-1][1] if parts else 0)] * GAP)
-            skipped = (name, 1)
-            in_link = False
+        end(ended_by(name))
+        if empty:
             continue
-        if name == "br":
-            add(" ")
-        elif name in BLOCKS:
-            end_line()
-            if name in ("article", "main"):
-                if not closing:
-                    count += 1
-                    parts.append((name, count))
-                elif parts:
-                    while parts and parts.pop()[0] != name:
-                        pass
+        if skipped is None and filters and (name in LEFT_OUT or name == "header" and not parts or filters > 1 and name not in (
+                "body", "html", "main") and _marked(name, attributes, bool(parts))):
+            if name not in BLOCKS:
+                end_line()
+            lines.extend([("", 0, parts[-1] if parts else 0, -1)] * GAP)
+            push(name)
+            skipped = len(stack) - 1
+            in_link = False
+        elif name in BLOCKS or skipped is not None and (name in LEFT_OUT or name == stack[skipped][0]):
+            push(name)
     add(page[at:])
     end_line()
-    return lines
+    end(0)
+    return lines, elements
 
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether class, id, role or style say that this element is no text of the page."""
     if not attributes:
         return False
-    if HIDDEN.search(attributes):
+    if NOT_SHOWN.search(attributes) or HIDDEN.search(QUOTED.sub("", attributes)):
         return True
     for value in ATTRIBUTE.findall(attributes):
-        for word in value.strip("\"'").split():
-            if word.lower().startswith(("has-", "no-", "with-", "is-")):
-                continue                          # says what the part around has, not what this is
-            m = MARKS.search(word)
-            if m and not (inside and "header" in m[0].lower()) and (name != "article" or m[0] == word):
+        for word in value.strip("\"'").lower().split():
+            pieces = re.split("[_-]", word)
+            marks = [p for p in pieces if p in MARKS]
+            if (marks and all(p in MARKS or NEUTRAL.fullmatch(p) for p in pieces) and not (inside and "header" in marks)
+                    and (name != "article" or word in MARKS)):
                 return True
     return False
 
@@ -142,28 +201,33 @@ def passages(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> li
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The text of the page's article, blocks joined by line breaks."""
-    lines = lines_of(page)
-    size: dict[int, int] = {}
-    for text, _, part in lines:
-        if part:
-            size[part] = size.get(part, 0) + len(text)
-    best = max(size, key=lambda p: (size[p], -p), default=0)
-    if best and size[best]:
-        inner = [(t, k) for t, k, p in lines if p == best]
+    """The text of the page's articles, else of its content, blocks joined by line breaks."""
+    for filters in (2, 1, 0):
+        lines, elements = lines_of(page, filters)
+        if any(line[0] for line in lines):
+            break
     else:
-        best, inner = 0, [(t, k) for t, k, _ in lines]
-    lengths = [len(t) for t, _ in inner]
-    found = passages(lengths, window, surge) or passages(lengths, window, 1)
-    if best and found:
-        # a mark-up that names its article is believed: short passages of it are text as well
-        found = passages(lengths, window, 1)
-    elif found:
-        total = {f: sum(lengths[f[0]:f[1]]) for f in found}
-        plain = [f for f in found if 2 * sum(k for _, k in inner[f[0]:f[1]]) <= total[f]] or found
-        longest = max(total[f] for f in plain)
-        found = [f for f in plain if 3 * total[f] >= longest]
-    return "\n".join(t for a, b in found for t, _ in inner[a:b] if t)
+        return ""
+    marked = [t for t, _, part, _ in lines if part and t]
+    if marked:
+        # a mark-up that names its articles is believed: short passages of them are text as well
+        return "\n".join(marked)
+    lengths = [len(line[0]) for line in lines]
+
+    def plain(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Without link lists, unless there is nothing else."""
+        return [(a, b) for a, b in found if 2 * sum(line[1] for line in lines[a:b]) <= sum(lengths[a:b])] or found
+
+    found = plain(passages(lengths, window, surge) or passages(lengths, window, 1))
+    first, after = found[0][0], found[-1][1]
+    end = max(i for i in range(first, after) if lengths[i]) + 1
+    holder = lines[first][3]
+    while holder >= 0 and (elements[holder][0] not in HOLDERS or elements[holder][3] < end):
+        holder = elements[holder][1]
+    if holder >= 0 and elements[holder][0] not in ("body", "html"):
+        first, after = min(first, elements[holder][2]), max(after, elements[holder][3])
+    kept = plain([(first + a, first + b) for a, b in passages(lengths[first:after], window, 1)])
+    return "\n".join(t for a, b in kept for t, *_ in lines[a:b] if t)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:

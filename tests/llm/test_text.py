@@ -36,6 +36,46 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("page, text", [
+    # no passage of the content goes for being short
+    (f"<body><nav>m</nav><p>{LONG}</p><div class=ad>buy</div><p>A short last section of the text.</p><footer>f</footer></body>",
+     f"{LONG}\nA short last section of the text."),
+    (f"<body><div id=c><p>{LONG}</p><div class=ad>buy</div><p>Short.</p><aside>x</aside><p>{LONG}</p><aside>x</aside><p>End.</p></div></body>",
+     f"{LONG}\nShort.\n{LONG}\nEnd."),
+    # sibling articles, text of main beside an article
+    (f"<main><h1>Head</h1><article><p>{LONG}</p></article><p>Beside.</p><article>Second</article></main>", f"Head\n{LONG}\nBeside.\nSecond"),
+    # marked elements whose end tag is left out
+    ("<article><p class=ad>x<p>real<p>more</article>", "real\nmore"),
+    ("<article><p class=ad>x<div>real</div><p>more</article>", "real\nmore"),
+    ("<article><ul><li class=share>x<ul><li>y<li>z</ul><li>real<li>more</ul>after</article>", "real\nmore\nafter"),
+    ("<article><ul><li>real<li class=share>x</ul>after</article>", "real\nafter"),
+    ("<article><dl><dt>a<dd class=ad>x<dt>b<dd>c</dl></article>", "a\nb\nc"),
+    ("<article><table><tr><td class=ad>x<table><tr><td>y</table><td>real<tr><td>more</table>after</article>", "real\nmore\nafter"),
+    ("<article><table><tr class=ad><td>x<tr><td>real</table></article>", "real"),
+    ("<article><div><div class=ad><p>x</div>real</div></article>", "real"),
+    # words that only contain a mark, or values of other attributes
+    ("<article><p class=related-work>a<p class='post search-results'>b<p title='a hidden gem'>c<p data-role=header>d<p class=ad-300x250>x</article>",
+     "a\nb\nc\nd"),
+    # nothing is left: no filters
+    (f"<body><div class=widget><p>{LONG}</p><nav>m</nav></div></body>", LONG),
+    (f"<body><form id=f><p>{LONG}</p></form></body>", LONG),
+    # captions, formulas, pages whose head or svg is not closed
+    ("<article><figure><img src=i><figcaption>Seen</figcaption></figure><p>so <math><mi>x</mi></math>.</article>", "Seen\nso x."),
+    (f"<html><head><title>T</title><body><p>{LONG}</body>", LONG),
+    ("<article><svg class=i /><p>real</p><svg><text>x</text></svg></article>", "real"),
+])
+def test_no_text_of_the_content_is_dropped(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_link_lists_between_passages_go():
+    menu = "".join(f"<li><a href=/{i}>a link to read</a></li>" for i in range(9))
+    assert html_text.main_text(f"<body><p>{LONG}</p><nav>m</nav><ul>{menu}</ul><nav>m</nav><p>{LONG}</p></body>") == f"{LONG}\n{LONG}"
+
+
 def test_sums_and_passages():
     assert html_text.passages([0, 0, 50, 5, 0, 60, 0, 0, 0, 70, 1], 3, 30) == [(2, 6), (9, 11)]
     assert html_text.passages([], 3, 30) == []
