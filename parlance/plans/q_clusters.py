@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..clustering import kmeans as KM
 from ..clustering.dbscan import dbscan, dbscan_sql
 from ..clustering.density import density_cuts, density_cuts_sql
+from ..clustering.registry import registry as cluster_registry
 from ..sources import tables as S
 from .q_vectors import CENT_SQL, V, _pts
 from .registry import query
@@ -107,8 +108,8 @@ def p2_cluster_tags(spark, sf_dir):
     """Every weekly tag × embedder × algorithm clustered, scored, stored (A10–A12, F8) and read back with
     its leaderboard ranks."""
     from ..streaming.ingest import scratch
-    from .cluster_tags import cluster_tags, store_results
-    rows = cluster_tags(spark, sf_dir, embedders=("Hash 64", "Hash 64 (50-d)"), algorithms=("K-Means", "DBSCAN", "MST density cut"))["rows"]
+    from .cluster_tags import EMBEDDERS, cluster_tags, store_results
+    rows = cluster_tags(spark, sf_dir, embedders=EMBEDDERS, algorithms=tuple(cluster_registry()))["rows"]
     paths = store_results(rows, scratch(spark, "p2"))
     ranks = spark.read.parquet(paths["leaderboards"])
     return (spark.read.schema(rows.schema).parquet(paths["rows"]).drop("time", "themes", "sentiment")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.plans import cluster_tags as CT
@@ -31,3 +32,19 @@ def test_a_failed_algorithm_becomes_a_row(spark, monkeypatch):
     done = spark.createDataFrame([("weekly", "t1", "e", "Good")], "frequency string, tag string, embedder string, algorithm string")
     again, _ = CT.cluster_all(points, ["Good"], done)
     assert {r.tag for r in again.collect()} == {"t2"}
+
+
+def test_p2_runs_every_registered_combination(spark, monkeypatch):
+    from parlance.clustering.registry import registry
+    from parlance.plans import q_clusters
+
+    class Asked(Exception):
+        pass
+
+    def asked(spark, sf_dir, **names):
+        raise Asked(names)
+    monkeypatch.setattr(CT, "cluster_tags", asked)
+    with pytest.raises(Asked) as e:
+        q_clusters.p2_cluster_tags(spark, "none")
+    names = e.value.args[0]
+    assert tuple(names["embedders"]) == tuple(CT.embedder_factories(None)) and tuple(names["algorithms"]) == tuple(registry())
