@@ -24,7 +24,7 @@ from .decontaminate import WORD_TABLE, words_of
 from .substring_dedup import sequence_hash
 
 MIN_COVERAGE = 0.8
-#: Short public notices of common licences.  Any other set can be passed.
+#: Short public notices of common licences, and the lines that head their full texts.  Any other set can be passed.
 TEMPLATES: dict[str, str] = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,6 +41,30 @@ TEMPLATES: dict[str, str] = {
                       "documentation files (the \"Software\"), to deal in the Software without restriction",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
                           "the following conditions are met",
+    "lgpl": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                   "Public License as published by the Free Software Foundation",
+    "lgpl-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-2.1-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                   "Public License as published by the Free Software Foundation",
+    "agpl-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-2-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+                       "REPRODUCTION, AND DISTRIBUTION",
+    "mpl-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                      "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl-2.0-text": "Mozilla Public License Version 2.0 1. Definitions",
+    "isc": "Released under the ISC License.",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+                      "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "cc0-1.0": "Licensed under CC0 1.0.",
+    "cc0-1.0-header": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "cc0-1.0-text": "Creative Commons Legal Code CC0 1.0 Universal",
 }
 IS_WORD = np.array([c != 0x20 for c in WORD_TABLE])
 

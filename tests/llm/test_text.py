@@ -139,6 +139,24 @@ def test_license_with_changes(spark):
     assert licenses.scan(df, {"short": "two words"}).count() == 0 and licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, template", [
+    ("x. This work is licensed under the GNU Lesser General Public License, version 3. y", "lgpl"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n Copyright (C) 2007", "agpl-text"),
+    ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License as\n"
+     " * published by the Free Software Foundation, either version 3 */", "agpl-header"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"),
+    ("Mozilla Public License Version 2.0\n====\n1. Definitions\n---", "mpl-2.0-text"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided "
+     "that the above copyright notice and this permission notice appear in all copies.", "isc-permission"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "unlicense"),
+    ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM", "cc0-1.0-text"),
+    ("Released under the MIT License.", "mit"), ("Licensed under CC BY 4.0.", "cc-by-4.0"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0")])
+def test_common_licenses(spark, text, template):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [r.template for r in licenses.scan(df).collect()] == [template]
+
+
 DOCS = [(1, "src", "en", "Hello wörld.\n\nSecond line 123\n"), (2, None, None, None), (3, "", "", ""), (4, "s\nt", "é", "x" * 30_000 + "\n" + "日本語 " * 50),
         (1, "src", "en", "Hello wörld.\n\nSecond line 123\n"), (None, "a", "b", "   \n  \n")]
 
