@@ -7,8 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, hashed_text, html_text, jaccard_join, licenses, mixing, quality, substring_dedup,
-               token_counts, toxicity)
+from . import (alignment, decontaminate, exact_dedup, hashed_text, html_text, jaccard_join, licenses, max_sketch, mixing, packing, quality,
+               substring_dedup, token_counts, toxicity)
 from .common import table
 
 
@@ -71,6 +71,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
@@ -82,10 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op12_ranked_search": max_sketch.ORACLE,
 }
