@@ -19,13 +19,15 @@ SPACE_TABLE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the session's shared checkpoint folder and read back: it is computed once and
-    survives the loss of an executor."""
+    survives the loss of an executor.  ``session.release`` deletes it once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def slices(column: pa.Array, limit: int = KERNEL_BYTES) -> Iterator[tuple[int, int]]:

@@ -7,7 +7,8 @@ A document's set holds the 64-bit hashes of its distinct 3-word shingles.  Two d
    the largest difference a linked pair of it can have, so a linked pair agrees on one whole slice at
    least, by the pigeonhole principle; a few slices more allow slices of two shingles or fewer to be
    left out.  Each (band, slice, content of the slice) is a tile; documents at the upper end of a band
-   are dealt in the next one as well.  Documents that share a tile are joined into blocks.
+   are dealt in the next one as well.  Documents that share a tile are joined into blocks by contraction: rounds
+   in which every document has one edge, to the smallest document of its tiles.
 2. *Blocks.*  Only documents in a block of several are read again, one for each different set.  A block
    is split by a hash into sub-blocks of bounded size, and each pair of sub-blocks is one task's work:
    rows sorted by size meet only rows within the size bound; the bits of the hashed bitmaps that one
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..session import release
 from .common import mix, slices, stored, to_bytes, word_hashes, word_starts
 from .substring_dedup import IS_WORD, mapped, sequence_hash
 
@@ -115,29 +117,67 @@ def tile_keys(own: np.ndarray, h: np.ndarray, docs: int, bands: Bands) -> tuple[
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
-def _sizes(batch: pa.RecordBatch):
-    """(doc_id, text) → size and 128-bit digest of the set."""
-    for a, b in slices(batch.column(1)):
-        own, h = shingle_sets(to_bytes(batch.column(1).slice(a, b - a)))
-        counts = np.bincount(own, minlength=b - a)
-        d1, d2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-        np.add.at(d1, own, mix(h + np.uint64(11)))
-        np.add.at(d2, own, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()),
-                                          pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))],
-                                         names=["doc_id", "n_shingles", "d1", "d2"])
-
-
-def _tiles(bands: Bands):
+def _sets(bands: Bands):
+    """(doc_id, text) → size and 128-bit digest of the set, and its tiles."""
     def run(batch: pa.RecordBatch):
-        ids = batch.column(0).to_numpy()
         for a, b in slices(batch.column(1)):
             own, h = shingle_sets(to_bytes(batch.column(1).slice(a, b - a)))
+            counts = np.bincount(own, minlength=b - a)
+            d1, d2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+            np.add.at(d1, own, mix(h + np.uint64(11)))
+            np.add.at(d2, own, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
             doc, key = tile_keys(own, h, b - a, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][doc])], names=["tile", "doc_id"])
+            key = key[np.argsort(doc, kind="stable")]
+            ends = np.append(0, np.cumsum(np.bincount(doc, minlength=b - a))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))], names=["doc_id", "n_shingles", "d1", "d2", "tiles"])
     return run
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows(tile, id)`` of the tiles with several ids, with the smallest of them as ``least``."""
+    spans = rows.groupBy("tile").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("tile", "least")
+    return rows.join(spans, "tile")
+
+
+def _roots(parent: DataFrame) -> DataFrame:
+    """``parent(id, to)``, to ≤ id and itself an id: each id with the end of its chain, by doubling."""
+    while True:
+        step = stored(parent.join(parent.select(F.col("id").alias("to"), F.col("to").alias("far")), "to"))
+        release(parent)
+        parent = stored(step.select("id", F.col("far").alias("to")))
+        done = step.where("to != far").isEmpty()
+        release(step)
+        if done:
+            return parent
+
+
+def contracted(rows: DataFrame) -> DataFrame:
+    """(id, block) of every id of ``rows(tile, id)`` that shares a tile: the smallest id reachable over shared tiles.
+
+    A round gives every id one edge, to the smallest id of its tiles, follows the edges to their ends and renames the
+    ids in the tiles; tiles with one name left go.  So there are at most as many edges as ids, however many
+    tiles a group shares."""
+    blocks = None
+    while True:
+        now = stored(_shared(rows))
+        if now.isEmpty():
+            if blocks is None:
+                return now.select("id", F.col("id").alias("block"))
+            release(now)
+            return blocks
+        to = _roots(stored(now.groupBy("id").agg(F.min("least").alias("to"))))
+        if blocks is None:
+            blocks = stored(to.select("id", F.col("to").alias("block")))
+        else:
+            before, names = blocks, to.select(F.col("id").alias("block"), "to")
+            blocks = stored(before.join(names, "block", "left").select("id", F.coalesce("to", "block").alias("block")))
+            release(before)
+        rows = stored(now.join(to, "id").select("tile", F.col("to").alias("id")).distinct())
+        release(now, to)
+
+
 def _arrays(batch: pa.RecordBatch):
     """(block, doc_id, parts, text) → the same with the sorted set instead of the text."""
     for a, b in slices(batch.column(3)):
@@ -212,17 +252,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sub_rows: int = SUB
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = base.where("doc_id IS NOT NULL")
-    sizes = stored(mapped(base, _sizes, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint"))
+    sets = stored(mapped(base, _sets(Bands(percent)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, tiles array<bigint>"))
+    sizes = sets.drop("tiles")
     own = sizes.where("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets: the smallest id stands for all of them
     same = own.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    rows = mapped(known, _tiles(Bands(percent)), "tile bigint, doc_id bigint")
-    shared = (rows.groupBy("tile").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"))
-              .where("src < last").select("tile", "src"))
-    stars = (rows.join(shared, "tile").where("src != doc_id").select("src", F.col("doc_id").alias("dst")).distinct())
-    stars = stored(stars)
-    ends = stars.select("src").union(stars.select("dst")).select(F.col("src").alias("id")).distinct()
-    blocks = connected_components(ends, stars).select(F.col("id").alias("rep"), F.col("component").alias("block"))
+    tiles = _shared(sets.where("doc_id IS NOT NULL").select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id")))
+    blocks = contracted(tiles.select("tile", "id").join(same.select(F.col("rep").alias("id")), "id", "left_semi").distinct())
+    blocks = blocks.withColumnRenamed("id", "rep")
     members = stored(same.join(blocks, "rep").select("block", F.col("rep").alias("doc_id"), "n_shingles"))
     split = (members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total")).where("rows > 1")
              .select("block", F.greatest(F.ceil(F.col("rows") / sub_rows), F.ceil(F.col("total") / sub_shingles)).cast("int").alias("parts")))
