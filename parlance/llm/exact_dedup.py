@@ -15,12 +15,13 @@ rows count one by one in ``group_size``; all rows of the kept id are kept.  Othe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 MIN_CHARS, MAX_CHARS = 512, 4096
+NO_ID = -(1 << 63)          # stands for a null doc_id
 # A cut falls behind such characters (about one place in 130)
 CUT_BEHIND = "[g-m][d-n] [o-z]"
 
@@ -66,13 +67,15 @@ def exact_duplicates(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one with the smallest doc_id; repeated rows go."""
-    lost = (exact_duplicates(docs).where(~F.col("kept"))
-            .select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_sha")).distinct())
-    sha = F.sha2(normalised(F.col("text")), 256)
-    left = docs.withColumn("_own", sha).join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_lost")) & (F.col("_own") == F.col("_sha")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, the one with the smallest doc_id; repeated rows go.
+
+    The decisions are narrow rows; the documents are dealt once, by id and hash, for both the join and the repeated rows."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_exact_id"), "_exact_sha"]
+    lost = (exact_duplicates(docs).where(~F.col("kept")).withColumnRenamed("text_sha256", "_exact_sha").select(*key).distinct())
+    left = (docs.withColumn("_exact_sha", F.sha2(normalised(F.col("text")), 256)).select("*", key[0])
+            .join(lost, ["_exact_id", "_exact_sha"], "left_anti"))
+    nth = F.row_number().over(Window.partitionBy("_exact_id", "_exact_sha").orderBy("_exact_sha"))
+    return left.withColumn("_exact_nth", nth).where("_exact_nth = 1").select(*docs.columns)
 
 
 ORACLE = """WITH n AS (
