@@ -72,12 +72,17 @@ def blocks(column: pa.Array, rows: int = BLOCK_ROWS):
 
 
 def sampled(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """Up to ``per_label`` rows of each label, by a hash of doc_id, with the weight that each stands for."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    top = labelled.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_label).drop("_k")
+    """Up to ``per_label`` rows of each label, those with the least hashes of doc_id, with the weight that each stands for.
+
+    A cut-off of the hashes, from the labels' counts, leaves about ``per_label`` rows a label before they are sorted (more by
+    eight standard deviations, so that none of them is missed)."""
     total = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return (top.join(F.broadcast(total), label)     # one row a label
-            .withColumn("weight", F.col("_n") / F.least("_n", F.lit(per_label))).drop("_n"))
+    share = (per_label + 8 * per_label ** 0.5 + 64) / F.col("_n")
+    near = (labelled.join(F.broadcast(total), label)     # one row a label
+            .where(F.xxhash64("doc_id") / 2.0 ** 64 + 0.5 < share))
+    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    top = near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_label).drop("_k")
+    return top.withColumn("weight", F.col("_n") / F.least("_n", F.lit(per_label))).drop("_n")
 
 
 def training_rows(docs: DataFrame, sample: DataFrame, label: str, parts: int = 8) -> DataFrame:
