@@ -10,7 +10,7 @@ kept, and also the short ones before and after in the element (not the body) tha
 are left out.  A page of which nothing is left is read without the words, then without the elements as well.
 
 Blocks are joined in page order; white space inside a block is one space and character references are
-decoded.  Cases: null or empty html, or no text: empty string.  Tags that are never closed end where HTML
+decoded.  Cases: null or empty html, or no text: empty string.  A tag without its end sign is text.  Elements that are never closed end where HTML
 implies it (p, li, dd, dt, cells, rows, headings), else with the element around them.  Other columns are
 kept; an input column named text or n_chars is replaced.
 """
@@ -31,7 +31,7 @@ footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol o
 tfoot th thead title tr ul""".split())
 LEFT_OUT = frozenset("nav footer aside form button select textarea dialog menu fieldset label input iframe object canvas map audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|title|iframe|object|textarea"
+RAW = frozenset("script style noscript template svg title iframe object textarea".split())
 #: Words of class, id or role that mark a part as no text of the page: all pieces of a word are one of these or say nothing.
 MARKS = frozenset("""ad ads advert adverts advertisement advertisements adsense banner banners breadcrumb breadcrumbs comment comments
 commentlist consent cookie cookies copyright disqus footer footers gdpr header hidden masthead menu menus modal navbar nav navigation newsletter
@@ -40,6 +40,11 @@ sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe
 widgets contentinfo complementary""".split())
 NEUTRAL = re.compile(r"area|bar|block|bottom|box|button|buttons|container|form|icons|inner|left|link|links|list|main|outer|page|panel|primary|"
                      r"right|secondary|section|site|slot|top|unit|wrap|wrapper|[0-9]+(?:x[0-9]+)?|")
+#: These say nothing beside marks of other people's text; the last ones say nothing but beside marks of the page's layout.
+NEUTRAL_NAMES = frozenset("""article articles bio blog count entry item items new post posts reader readers thread title user users""".split())
+NEUTRAL_PARTS = frozenset("body content inline text".split())
+LAYOUT = frozenset("""banner banners footer footers header hidden masthead menu menus modal nav navbar navigation search sidebar sidebars
+sidenav skip toolbar topbar""".split())
 #: Start tag: the elements that it ends, unless one of the second lies between.
 CELLS = ("table", "td", "th", "caption")
 LISTS = (*CELLS, *"""article aside blockquote button details dir dl fieldset figure footer form header main menu nav ol section ul""".split())
@@ -50,15 +55,47 @@ ENDS = {"a": (("a",), CELLS), "li": (("li",), LISTS), "dd": (("dd", "dt"), LISTS
         **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", *ROWS), ("table",)))}
 ENDS_P = BLOCKS - frozenset("html body legend optgroup option title caption tbody td tfoot th thead tr".split())
 HOLDERS = frozenset("body center div html section td".split())     # elements that may hold a page's content
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg\b(?:"[^"]*"|'[^']*'|[^'">])*/>|"""
-                   rf"""<({RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|"""
-                   r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)""", re.S | re.I)
+OPEN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)""")
+TRIES = 8             # unfinished tags up to the same place, before that place is gone to
 ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 NOT_SHOWN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+def tokens(page: str):
+    """(start, end, CDATA text or None, name or "", whether it closes, attributes) of each tag, and with an empty name of each comment,
+    declaration and raw element.  A tag without its end sign is text.  The time is linear in the page's length."""
+    at, n, dead, tries = 0, len(page), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1:at + 2]
+        if sign == "!" or sign == "?":
+            open_, close = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page[at:at + len(o)].upper() == o), (page[at:at + 2], ">"))
+            stop = page.find(close, at + len(open_))
+            end = n if stop < 0 else stop + len(close)
+            yield at, end, page[at + 9:n if stop < 0 else stop] if len(open_) == 9 else None, "", False, ""
+            at = end
+            continue
+        m = OPEN.match(page, at) if at >= dead or tries < TRIES else None
+        if m is None or page[m.end():m.end() + 1] != ">":
+            if m is not None:          # no end sign up to where the scan stopped
+                tries = tries + 1 if m.end() <= dead else 1
+                dead = max(dead, m.end())
+            at = dead if at < dead and tries >= TRIES else at + 1
+            continue
+        name, closing, attributes, end = m[2].lower(), bool(m[1]), m[3], m.end() + 1
+        if name in RAW and not closing and not (name == "svg" and attributes.endswith("/")):
+            stop = re.compile(rf"</{name}\s*>", re.I).search(page, end)
+            yield at, stop.end() if stop else n, None, "", False, ""
+            at = stop.end() if stop else n
+            continue
+        if not (name == "svg" and not closing):
+            yield at, end, None, name, closing, attributes
+        else:
+            yield at, end, None, "", False, ""
+        at = end
+
+
 def lines_of(page: str, filters: int = 2) -> tuple[list[tuple[str, int, int, int]], list[list]]:
     """(text, link characters, number of the article or main part that holds it or 0, element) of each line of the
     page, and [name, element around it, first line, line after the last] of each element.
@@ -125,14 +162,13 @@ def lines_of(page: str, filters: int = 2) -> tuple[list[tuple[str, int, int, int
         return place
 
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        if m[3] is None:                      # comment, declaration, raw text
-            if skipped is None and m[0][:9].upper() == "<![CDATA[":
-                add(m[0][9:-3])
+    for start, stop, data, name, closing, attributes in tokens(page):
+        add(page[at:start])
+        at = stop
+        if not name:                          # comment, declaration, raw text
+            if skipped is None and data:
+                add(data)
             continue
-        name, closing, attributes = m[3].lower(), bool(m[2]), m[4]
         empty = name in VOID or attributes.endswith("/")
         if skipped is None:
             if name == "a":
@@ -177,7 +213,8 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
         for word in value.strip("\"'").lower().split():
             pieces = re.split("[_-]", word)
             marks = [p for p in pieces if p in MARKS]
-            if (marks and all(p in MARKS or NEUTRAL.fullmatch(p) for p in pieces) and not (inside and "header" in marks)
+            names = () if "header" in marks or "hidden" in marks else NEUTRAL_NAMES if LAYOUT.intersection(marks) else NEUTRAL_NAMES | NEUTRAL_PARTS
+            if (marks and all(p in MARKS or p in names or NEUTRAL.fullmatch(p) for p in pieces) and not (inside and "header" in marks)
                     and (name != "article" or word in MARKS)):
                 return True
     return False

@@ -71,6 +71,39 @@ def test_no_text_of_the_content_is_dropped(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("word", """user-comments reader-comments comment-body comment-thread user-comment blog-comments entry-comments article-comments
+sponsored-post advert-inline ad-text promo-text related-posts article-sidebar blog-footer sponsored-content comment ad-slot-1 cookie-notice
+page-footer""".split())
+def test_marked_parts_go(word):
+    assert html_text.main_text(f"<article><p>Body</p><div class='{word}'>Other people's text<p>and more</p></div><p>End</p></article>") == "Body\nEnd"
+
+
+@pytest.mark.parametrize("word", ["post-content", "entry-header", "content-sidebar-wrap", "post-body", "article-text", "blog-post", "has-sidebar"])
+def test_holders_of_the_content_stay(word):
+    assert html_text.main_text(f"<body><div class='{word}'><h1>Head</h1><p>{LONG}</p></div></body>") == f"Head\n{LONG}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p class='", "<p class=\"", "<a '\"", "<svg ", "<script ", "</p ", "<!", "<", "<a b='>' ", "<p title=\"'<i '>", "<div>", "<ul><li>"])
+def test_unfinished_tags_take_linear_time(piece):
+    import time
+    began = time.process_time()
+    html_text.main_text("<p>text</p>" + piece * (300_000 // len(piece)))
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("page, text", [("<p>a <b c</p>", "a"), ("<p>one <b two", "one <b two"), ("<p title='x>one</p><p>two</p>", "<p title='x>one\ntwo"),
+                                        ("<p>a</p><a '", "a\n<a '"), ("<p><![CDATA[x & y]]></p>", "x & y"), ("<svg a='1'/><p>x", "x"), ("<script>a</SCRIPT >b", "b")])
+def test_unfinished_tags_are_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b"])
+def test_long_white_space_is_counted(spark, text):
+    df = spark.createDataFrame([(1, "s", "en", text)], "doc_id bigint, source string, lang string, text string")
+    got = token_counts.count_tokens(df, fields=(("text", False),)).collect()
+    assert len(got) == 1 and got[0].end_char == len(text) and got[0].n_tokens >= len(text) // 2
+
+
 def test_link_lists_between_passages_go():
     menu = "".join(f"<li><a href=/{i}>a link to read</a></li>" for i in range(9))
     assert html_text.main_text(f"<body><p>{LONG}</p><nav>m</nav><ul>{menu}</ul><nav>m</nav><p>{LONG}</p></body>") == f"{LONG}\n{LONG}"
@@ -164,7 +197,10 @@ DOCS = [(1, "src", "en", "Hello wörld.\n\nSecond line 123\n"), (2, None, None,
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     import tiktoken
-    enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(token_counts.VOCABULARY), special_tokens={})
+    import base64
+    import public_tokenizers
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = spark.createDataFrame([(*r, 7) for r in DOCS], "doc_id bigint, source string, lang string, text string, n_tokens int")
     got = {}
     for r in token_counts.count_tokens(df, rule=rule).collect():
