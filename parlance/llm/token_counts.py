@@ -10,13 +10,13 @@ belongs to it.  A token that crosses a boundary goes to
 * ``most``: the one that holds most of its bytes, the first of several (the default),
 * ``split``: all of them, by their shares of its bytes.
 
-The vocabulary's path is a parameter; the driver reads the file and sends it (its size is the tokenizer's).
+The vocabulary's path is a parameter; the driver reads the file and sends it (its size is the tokenizer's).  Special tokens'
+strings are plain text; a text with very long runs of white space is encoded by the slower library, with the same ids.
 Cases: null counts as an empty field; every field has one section at least.  Repeated rows are counted one by one.
 """
 
 from __future__ import annotations
 
-import base64
 from typing import Sequence
 
 import numpy as np
@@ -24,20 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBpe, read_definition
 from .common import to_bytes
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-tokenizer pattern that belongs to this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FIELDS = (("source", False), ("lang", False), ("text", True))     # (column, split into lines)
 RULES = ("first", "last", "most", "split")
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-
-
 def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section; section s covers the bytes bounds[s]:bounds[s + 1]."""
     n = len(bounds) - 1
@@ -59,30 +52,26 @@ def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str
 
 
 def count_tokens(docs: DataFrame, fields: Sequence[tuple[str, bool]] = FIELDS, rule: str = "most",
-                 vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+                 vocabulary: str | None = None) -> DataFrame:
     """(doc_id, field, section, start_char, end_char, n_tokens), a row a section; positions are code points of
     the field, section counts from 0 in each field."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    shipped = docs.sparkSession.sparkContext.broadcast(list(read_ranks(vocabulary).items()))
+    shipped = docs.sparkSession.sparkContext.broadcast(read_definition(vocabulary))
     kind = dict(docs.dtypes)["doc_id"]
     names = [c for c, _ in fields]
     split = [s for _, s in fields]
     columns = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"f{k}") for k, c in enumerate(names)])
 
     def run(batches):
-        import tiktoken
-        ranks = dict(shipped.value)
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, k in ranks.items():
-            length[k] = len(token)
+        bpe = ByteBpe(shipped.value, special_is_text=True)
+        length = np.array([len(t) for t in bpe.tokens], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield sections(part.column(0), [to_bytes(part.column(k + 1)) for k in range(len(names))], encoding, length)
+                yield sections(part.column(0), [to_bytes(part.column(k + 1)) for k in range(len(names))], bpe, length)
 
-    def sections(ids, texts, encoding, length):
+    def sections(ids, texts, bpe, length):
         rows, field, number, first, last, tokens = [], [], [], [], [], []
         for k, values in enumerate(zip(*texts)):
             whole = b"\n".join(values)
@@ -98,7 +87,7 @@ def count_tokens(docs: DataFrame, fields: Sequence[tuple[str, bool]] = FIELDS, r
                 num += range(len(breaks))
                 at += len(v) + 1
             bounds = np.array(bounds + [len(whole)])
-            ends = np.cumsum(length[np.asarray(encoding.encode_to_numpy(whole.decode()), np.int64)])
+            ends = np.cumsum(length[bpe.ids(whole.decode())])
             starts = np.append(0, ends[:-1]) if len(ends) else ends
             n = allocate(starts, ends, bounds, rule) if len(ends) else np.zeros(len(own))
             chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
