@@ -1,7 +1,8 @@
 """Clustering registry — name → function(points (*group, id, features), group_cols) → (*group, id, label).
 
 Every entry clusters all groups (tag × embedder ...) in one job.  Order and defaults follow the
-original registry where an algorithm is built (K-means with and without noise removal, mean-shift, DBSCAN, a density cut of the spanning tree).
+original registry where an algorithm is built (K-means with and without noise removal, mean-shift, DBSCAN, HDBSCAN, a density cut of
+the spanning tree).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import dbscan as DB
 from . import kmeans as KM
+from . import small_groups as SG
 
 ClusterFn = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -41,12 +43,20 @@ def _meanshift(points, group_cols):
     return mean_shift(points, group_cols)
 
 
+def _hdbscan(points, group_cols, min_cluster_size=5):
+    from .hdbscan import hdbscan
+    return hdbscan(points, min_cluster_size, group_cols=group_cols)
+
+
 def registry() -> dict[str, ClusterFn]:
+    """Small groups are clustered by a task each, larger ones by the distributed form (``small_groups.by_size``)."""
+    from .hdbscan import hdbscan_small
     return {
-        "K-Means": _kmeans,
-        "K-Means without noise": _kmeans_without_noise,
-        "Mean-Shift": _meanshift,
-        "DBSCAN": _dbscan,
+        "K-Means": SG.by_size(SG.auto_k, _kmeans),
+        "K-Means without noise": SG.by_size(SG.without_noise, _kmeans_without_noise),
+        "Mean-Shift": SG.by_size(SG.mean_shift, _meanshift),
+        "DBSCAN": SG.by_size(SG.density(DB.DEFAULT_EPS, DB.DEFAULT_MIN_SAMPLES), _dbscan),
+        "HDBSCAN": SG.by_size(hdbscan_small(), _hdbscan),
         "MST density cut": _density_cut,
     }
 

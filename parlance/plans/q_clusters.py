@@ -92,7 +92,7 @@ def j7_core_distances(spark, sf_dir):
 
 @query("j7_mst")
 def j7_mst(spark, sf_dir):
-    """J7 step 2: minimum spanning tree of the mutual-reachability graph (Borůvka rounds)."""
+    """J7 step 2: minimum spanning tree of the mutual-reachability graph (one pair pass)."""
     from ..clustering.hdbscan import mst
     return mst(_pts(spark, sf_dir).drop("label"), 5)
 
@@ -103,6 +103,14 @@ def j7_density_cut(spark, sf_dir):
     return mst_density_cut(_pts(spark, sf_dir).drop("label"), min_cluster_size=5)
 
 
+@query("j7_hdbscan")
+def j7_hdbscan(spark, sf_dir):
+    """HDBSCAN with excess of mass, min_cluster_size 5, of the vectors of each label parity (two groups in one run)."""
+    from ..clustering.hdbscan import hdbscan
+    pts = _pts(spark, sf_dir).withColumn("grp", (F.col("label") % 2).cast("int")).drop("label")
+    return hdbscan(pts, 5, group_cols=["grp"])
+
+
 @query("p2_cluster_tags")
 def p2_cluster_tags(spark, sf_dir):
     """Every weekly tag × embedder × algorithm clustered, scored, stored (A10–A12, F8) and read back with
