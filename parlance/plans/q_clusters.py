@@ -128,7 +128,7 @@ def p2_cluster_tags(spark, sf_dir):
 def p2_cluster_themes(spark, sf_dir):
     """P2 side outputs: cluster themes (F2) per combination and cluster."""
     from .cluster_tags import cluster_tags
-    return cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["themes"]
+    return cluster_tags(spark, sf_dir, algorithms=("K-Means", "HDBSCAN"))["themes"]
 
 
 @query("j9_mean_shift")

@@ -242,16 +242,22 @@ def p7_kmeans_topics(spark, sf_dir):
     return topics_per_cluster(members, "cluster", k=3, top=5, max_iter=10)
 
 
+A10_ALGORITHMS = ("K-Means", "DBSCAN")       # the first finds clusters in every tag, the second none at its default radius
+
+
 @query("a10_result_rows_store")
 def a10_result_rows_store(spark, sf_dir):
     """A10: full result rows (success and failure shape, themes and sentiment maps) appended to a store
     partitioned by frequency and read back; a second run finds nothing left to compute (C2)."""
     from .cluster_tags import cluster_tags, without_computed
-    rows = cluster_tags(spark, sf_dir, algorithms=("DBSCAN",))["rows"]
+    rows = cluster_tags(spark, sf_dir, algorithms=A10_ALGORITHMS)["rows"]
     path = scratch(spark, "results")
     IO.append_partitioned(rows, path, ("frequency",))
     back = spark.read.schema(rows.schema).parquet(path)
-    left = without_computed(back.select("frequency", "tag", "embedder"), "DBSCAN", back)
+    left = None
+    for name in A10_ALGORITHMS:
+        todo = without_computed(back.select("frequency", "tag", "embedder"), name, back)
+        left = todo if left is None else left.unionByName(todo)
     return (back.drop("time").withColumn("theme_clusters", F.size(F.coalesce("themes", F.create_map().cast("map<int,array<string>>"))))
             .drop("themes", "sentiment").unionByName(left.withColumn("success", F.lit(None).cast("boolean")), allowMissingColumns=True))
 
