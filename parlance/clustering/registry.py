@@ -1,8 +1,8 @@
 """Clustering registry — name → function(points (*group, id, features), group_cols) → (*group, id, label).
 
 Every entry clusters all groups (tag × embedder ...) in one job.  Order and defaults follow the
-original registry where an algorithm is built (K-means with and without noise removal, mean-shift, DBSCAN, HDBSCAN, a density cut of
-the spanning tree).
+original registry where an algorithm is built (K-means with and without noise removal, mean-shift, affinity propagation, DBSCAN, HDBSCAN, a
+density cut of the spanning tree).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import affinity as AF
 from . import dbscan as DB
 from . import kmeans as KM
 from . import small_groups as SG
@@ -43,6 +44,10 @@ def _meanshift(points, group_cols):
     return mean_shift(points, group_cols)
 
 
+def _affinity(points, group_cols):
+    return AF.affinity(points, group_cols).select(*group_cols, "id", "label")
+
+
 def _hdbscan(points, group_cols, min_cluster_size=5):
     from .hdbscan import hdbscan
     return hdbscan(points, min_cluster_size, group_cols=group_cols)
@@ -56,6 +61,7 @@ def registry() -> dict[str, ClusterFn]:
         "K-Means without noise": SG.by_size(SG.without_noise, _kmeans_without_noise),
         "Mean-Shift": SG.by_size(SG.mean_shift, _meanshift),
         "DBSCAN": SG.by_size(SG.density(DB.DEFAULT_EPS, DB.DEFAULT_MIN_SAMPLES), _dbscan),
+        "Affinity": SG.by_size(AF.dense(), _affinity),
         "HDBSCAN": SG.by_size(hdbscan_small(), _hdbscan),
         "MST density cut": _density_cut,
     }

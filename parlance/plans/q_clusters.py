@@ -111,6 +111,32 @@ def j7_hdbscan(spark, sf_dir):
     return hdbscan(pts, 5, group_cols=["grp"])
 
 
+AP_NEIGHBOURS, AP_PREFERENCE = 8, -1.5
+
+
+@query("j10_affinity_step", lambda: f"""WITH v AS ({V}),
+n AS (SELECT * FROM (SELECT a.doc_id AS i, b.doc_id AS k, list_distance(a.features, b.features) AS d,
+    row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.features, b.features), b.doc_id) AS q
+  FROM v a JOIN v b ON a.doc_id <> b.doc_id) WHERE q <= {AP_NEIGHBOURS}),
+e AS (SELECT i, k, -d * d AS s FROM n UNION ALL SELECT doc_id, doc_id, CAST({AP_PREFERENCE} AS DOUBLE) FROM v),
+m AS (SELECT x.i, x.k, x.s, max(y.s) AS o FROM e x JOIN e y ON x.i = y.i AND x.k <> y.k GROUP BY ALL),
+r AS (SELECT i, k, s, 0.5 * (s - o) AS r FROM m),
+p AS (SELECT k, sum(CASE WHEN i <> k THEN greatest(r, 0) ELSE 0 END) AS p, max(CASE WHEN i = k THEN r END) AS own FROM r GROUP BY k)
+SELECT r.i, r.k, r.s, r.r, 0.5 * (CASE WHEN r.i = r.k THEN p ELSE least(0, own + p - greatest(r.r, 0)) END) AS a FROM r JOIN p ON p.k = r.k""")
+def j10_affinity_step(spark, sf_dir):
+    """The graph and the first round of messages."""
+    from ..clustering import affinity as AF
+    edges = AF.graph(_pts(spark, sf_dir).drop("label"), neighbours=AP_NEIGHBOURS, preference=AP_PREFERENCE)
+    return AF.send(edges.withColumn("r", F.lit(0.0)).withColumn("a", F.lit(0.0)))
+
+
+@query("j10_affinity")
+def j10_affinity(spark, sf_dir):
+    """Affinity propagation of the vectors of each label (labels are the groups, so each is clustered within)."""
+    reg = cluster_registry()
+    return reg["Affinity"](_pts(spark, sf_dir).withColumnRenamed("label", "grp"), ["grp"])
+
+
 @query("p2_cluster_tags")
 def p2_cluster_tags(spark, sf_dir):
     """Every weekly tag × embedder × algorithm clustered, scored, stored (A10–A12, F8) and read back with
