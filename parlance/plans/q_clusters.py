@@ -61,6 +61,13 @@ def j5_bisecting(spark, sf_dir):
     return KM.bisecting(_pts(spark, sf_dir).drop("label"), k=2)
 
 
+@query("j5_agglomerative")
+def j5_agglomerative(spark, sf_dir):
+    """Ward's hierarchy bottom-up, cut at two clusters (the top-down model is ``j5_bisecting``)."""
+    from ..clustering.agglomerative import ward
+    return ward(_pts(spark, sf_dir).drop("label"), 2)
+
+
 @query("j6_dbscan_by_label_group", lambda: " UNION ALL ".join(
     f"SELECT {g} AS grp, * FROM ({dbscan_sql(f'SELECT doc_id, features FROM ({V}) WHERE label % 2 = {g}', 1.15, 5)})"
     for g in (0, 1)))
