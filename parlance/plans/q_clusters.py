@@ -144,6 +144,35 @@ def j10_affinity(spark, sf_dir):
     return reg["Affinity"](_pts(spark, sf_dir).withColumnRenamed("label", "grp"), ["grp"])
 
 
+@query("j11_affinity_matrix", lambda: f"""WITH v AS ({V}),
+n AS (SELECT * FROM (SELECT a.doc_id AS i, b.doc_id AS j, list_distance(a.features, b.features) AS d,
+    row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.features, b.features), b.doc_id) AS q
+  FROM v a JOIN v b ON a.doc_id <> b.doc_id) WHERE q <= 10),
+w AS (SELECT i, j, max(exp(-d * d)) AS w FROM (SELECT i, j, d FROM n UNION ALL SELECT j, i, d FROM n) GROUP BY i, j),
+s AS (SELECT i, sum(w) AS degree FROM w GROUP BY i)
+SELECT w.i, w.j, w / sqrt(a.degree) / sqrt(b.degree) AS m FROM w JOIN s a ON a.i = w.i JOIN s b ON b.i = w.j WHERE w > 0""")
+def j11_affinity_matrix(spark, sf_dir):
+    """The normalised affinity matrix of the neighbour graph, as (i, j, m)."""
+    from ..clustering import spectral as SP
+    pts = _pts(spark, sf_dir).drop("label")
+    return SP.normalised(SP.graph(pts), pts)[0]
+
+
+@query("j11_eigenvalues")
+def j11_eigenvalues(spark, sf_dir):
+    """The four largest eigenvalues of that matrix."""
+    from ..clustering import spectral as SP
+    theta = SP.embedding(_pts(spark, sf_dir).drop("label")).select("theta").limit(1)
+    return theta.select(F.posexplode("theta").alias("position", "eigenvalue"))
+
+
+@query("j11_spectral")
+def j11_spectral(spark, sf_dir):
+    """Spectral clustering, k in 2..4 by the silhouette."""
+    from ..clustering.spectral import spectral
+    return spectral(_pts(spark, sf_dir).drop("label"))
+
+
 @query("p2_cluster_tags")
 def p2_cluster_tags(spark, sf_dir):
     """Every weekly tag × embedder × algorithm clustered, scored, stored (A10–A12, F8) and read back with
