@@ -152,6 +152,20 @@ def c9_knn(spark, sf_dir):
     return NB.knn(_pts(spark, sf_dir), k=3)
 
 
+@query("c9_knn_pruned", lambda: _knn_sql(V, 3))
+def c9_knn_pruned(spark, sf_dir):
+    """C9 with blocks skipped by the triangle inequality: the rows of ``c9_knn``."""
+    from ..operators.pruned import knn_pruned
+    return knn_pruned(_pts(spark, sf_dir), 3)
+
+
+@query("c9_pruned_visits")
+def c9_pruned_visits(spark, sf_dir):
+    """Visits of points to blocks made and skipped, for the points of each label."""
+    from ..operators.pruned import report
+    return report(_pts(spark, sf_dir), 3, ["label"], pivots=4)
+
+
 @query("c9_knn_cosine", lambda: _knn_sql(V, 1, "cosine"))
 def c9_knn_cosine(spark, sf_dir):
     return NB.knn(_pts(spark, sf_dir), k=1, metric="cosine")
