@@ -2,7 +2,7 @@
 
 Every entry clusters all groups (tag × embedder ...) in one job.  Order and defaults follow the
 original registry where an algorithm is built (K-means with and without noise removal, mean-shift, affinity propagation, DBSCAN, HDBSCAN, a
-density cut of the spanning tree), then spectral clustering, which the original has switched off.
+density cut of the spanning tree).  Spectral clustering is built, but not an entry: the original has it switched off.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from . import affinity as AF
 from . import dbscan as DB
 from . import kmeans as KM
 from . import small_groups as SG
-from . import spectral as SP
 
 ClusterFn = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -49,10 +48,6 @@ def _affinity(points, group_cols):
     return AF.affinity(points, group_cols).select(*group_cols, "id", "label")
 
 
-def _spectral(points, group_cols):
-    return SP.spectral(points, group_cols)
-
-
 def _hdbscan(points, group_cols, min_cluster_size=5):
     from .hdbscan import hdbscan
     return hdbscan(points, min_cluster_size, group_cols=group_cols)
@@ -69,7 +64,6 @@ def registry() -> dict[str, ClusterFn]:
         "Affinity": SG.by_size(AF.dense(), _affinity),
         "HDBSCAN": SG.by_size(hdbscan_small(), _hdbscan),
         "MST density cut": _density_cut,
-        "Spectral": SG.by_size(SP.dense(), _spectral),
     }
 
 
