@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..operators import cooccurrence as CO
 from ..operators import features as FE
 from ..operators import topics as TP
 from ..sources import tables as S
@@ -62,6 +63,27 @@ def i5_subword_vectors(spark, sf_dir):
     return embed(docs).select("doc_id", F.size("features").alias("dim"))
 
 
+@query("i5b_pair_counts", lambda: f"WITH {CO.pair_counts_sql('documents')}\nSELECT * FROM pairs")
+def i5b_pair_counts(spark, sf_dir):
+    """Words at most 5 tokens apart, of words that occur 5 times or more."""
+    return CO.pair_counts(_docs(spark, sf_dir))
+
+
+@query("i5b_ppmi", lambda: f"WITH {CO.pair_counts_sql('documents')},\n{CO.ppmi_sql()}\nSELECT * FROM weights")
+def i5b_ppmi(spark, sf_dir):
+    """Positive pointwise mutual information of those pairs."""
+    return CO.ppmi(CO.pair_counts(_docs(spark, sf_dir)))
+
+
+@query("i5b_cooccurrence_vectors")
+def i5b_cooccurrence_vectors(spark, sf_dir):
+    """Vectors of 100 entries from the main corpus's weights; a document's are the mean of its words'."""
+    docs = _docs(spark, sf_dir)
+    embed = CO.cooccurrence_embedder(docs.where(F.col("lang") == S.MAIN_CITY), size=100, id_col="doc_id")
+    return embed(docs).select("doc_id", F.size("features").alias("dim"),
+                              F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
 @query("i6_batch_inference")
 def i6_batch_inference(spark, sf_dir):
     """Batch inference through ``predict_batch_udf`` (offline feature-hash model)."""
