@@ -41,7 +41,7 @@ DEPENDENT = 1e-10            # of a normalised Gram matrix: a direction below is
 
 
 def graph(points: DataFrame, group_cols: Sequence[str] = (), neighbours: int = NEIGHBOURS, gamma: float = GAMMA,
-          block_size: int = PK.DEFAULT_BLOCK_SIZE) -> DataFrame:
+          block_size: int = PK.WIDE_BLOCK_SIZE) -> DataFrame:
     """(*group, i, j, w): the affinities, both directions of every edge."""
     g = list(group_cols)
     near = NB.knn(points, neighbours, g, block_size=block_size).select(
@@ -153,7 +153,7 @@ def _turn(state: DataFrame, turns: DataFrame, g: list, size: int) -> DataFrame:
 
 
 def embedding(points: DataFrame, group_cols: Sequence[str] = (), wanted: int = max(KS), neighbours: int = NEIGHBOURS, gamma: float = GAMMA,
-              block_size: int = PK.DEFAULT_BLOCK_SIZE) -> DataFrame:
+              block_size: int = PK.WIDE_BLOCK_SIZE) -> DataFrame:
     """(*group, id, x, theta): a point's row of the leading vectors, divided by the root of its degree."""
     pts, g = PK.ensure_group(points.select(*group_cols, "id", "features"), group_cols)
     m, degrees = normalised(cut_lineage(graph(pts, g, neighbours, gamma, block_size)), pts, g)
@@ -164,7 +164,7 @@ def embedding(points: DataFrame, group_cols: Sequence[str] = (), wanted: int = m
 
 
 def spectral(points: DataFrame, group_cols: Sequence[str] = (), ks: Sequence[int] = KS, neighbours: int = NEIGHBOURS, gamma: float = GAMMA,
-             seed: int = RANDOM_SEED, block_size: int = PK.DEFAULT_BLOCK_SIZE) -> DataFrame:
+             seed: int = RANDOM_SEED, block_size: int = PK.WIDE_BLOCK_SIZE) -> DataFrame:
     """(*group, id, label), the best k of ``ks`` by the silhouette of the points."""
     from ..operators.quality import silhouette
     pts, g = PK.ensure_group(points.select(*group_cols, "id", "features"), group_cols)

@@ -25,7 +25,7 @@ from ..functions.lexicon import RANDOM_SEED
 from ..session import cut_lineage
 from . import pairs as PK
 
-PIVOTS, ROWS = 16, 1024          # ROWS: queries whose distances a task holds at once
+PIVOTS = 16
 SLACK = 1e-9                     # of a distance: rounding of the bounds
 
 
@@ -47,18 +47,9 @@ def blocks_of(points: DataFrame, group_cols: Sequence[str], pivots: int = PIVOTS
 def _nearest(k: int, g: list):
     """The k nearest members of each query, by (distance, id); a point isn't its own neighbour."""
     def run(key_values: dict, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        x, y = PK.matrix(queries), PK.matrix(members)
-        ids, others = queries["id"].to_numpy(), members["id"].to_numpy()
-        out = []
-        for at in range(0, len(ids), ROWS):
-            own = ids[at:at + ROWS]
-            d = PK.distances(x[at:at + ROWS], y)
-            d[own[:, None] == others[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-            best = np.take_along_axis(d, order, axis=1)
-            ok = np.isfinite(best).ravel()
-            out.append(pd.DataFrame({"id": np.repeat(own, order.shape[1])[ok], "neighbour": others[order].ravel()[ok], "distance": best.ravel()[ok]}))
-        res = pd.concat(out, ignore_index=True)
+        ids = queries["id"].to_numpy()
+        row, neighbour, dist = PK.nearest(PK.matrix(queries), PK.matrix(members), ids, members["id"].to_numpy(), k)
+        res = pd.DataFrame({"id": ids[row], "neighbour": neighbour, "distance": dist})
         for c in reversed(g):
             res.insert(0, c, key_values[c])
         return res
