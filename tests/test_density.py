@@ -129,3 +129,18 @@ def test_cosine_of_a_zero_vector_is_one():
     from parlance.operators.pairs import distances
     d = distances(np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[0.0, 0.0], [0.0, 2.0]]), "cosine")
     assert d.tolist() == [[1.0, 1.0], [1.0, 1.0]]
+
+
+def test_bandwidth_in_few_passes(spark, monkeypatch):
+    from parlance.clustering import meanshift as MS
+    rng = np.random.default_rng(11)
+    x = {g: rng.normal(size=(n, 3)) for g, n in ((0, 60), (1, 3), (2, 1))}
+    x[0][:20] = x[0][0]
+    df = spark.createDataFrame([(g, i, v.tolist()) for g, m in x.items() for i, v in enumerate(m)], "g int, id long, features array<double>")
+    passes, cross = [], MS._cross
+    monkeypatch.setattr(MS, "_cross", lambda *a: passes.append(1) or cross(*a))
+    got = {r["g"]: r["bandwidth"] for r in MS.estimate_bandwidth(df, ["g"], block_size=16).collect()}
+    for g, m in x.items():
+        d = np.sort(np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)), axis=1)
+        assert abs(got[g] - d[:, max(1, int(0.3 * len(m))) - 1].mean()) < 1e-9
+    assert len(passes) <= 7
