@@ -2,7 +2,9 @@
 
 The distinct vocabulary is normalised once (a table the size of the vocabulary, not of the corpus),
 tokens are matched to it by an equi-join on the token, unknown tokens stay as they are, and each text
-is regrouped in token order.  Any (token, lemma) table can be supplied; the default one is built from
+is regrouped in token order.  The texts are computed once (written, then read for the vocabulary and for the
+match) and move once, by their id; a table of up to ``features.SENT_WORDS`` rows is sent to the tasks, so that no token moves; with a larger
+one the tokens do.  Any (token, lemma) table can be supplied; the default one is built from
 the corpus vocabulary by a light plural-stripping rule.
 """
 
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
+from .features import sent
 
 # Light plural rule (fixed values): strip "es" from words longer than 4 letters, else "s" from words
 # longer than 3 letters.
@@ -40,8 +44,9 @@ def vocabulary_lemmas(tokens_df: DataFrame) -> DataFrame:
 
 def normalise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lemmas: DataFrame | None = None) -> DataFrame:
     """(doc_id, text) with every token replaced by its lemma when the table has one."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "token"))
-    table = lemmas if lemmas is not None else vocabulary_lemmas(toks)
+    texts, tokens = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))), T.tokens(F.col("_text"))
+    table = sent(lemmas if lemmas is not None else vocabulary_lemmas(texts.select(F.explode(tokens).alias("token"))))
+    toks = texts.repartition("doc_id").select("doc_id", F.posexplode(tokens).alias("pos", "token"))
     j = toks.join(table, "token", "left").withColumn("token", F.coalesce("lemma", "token"))
     regrouped = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
     return regrouped.select("doc_id", F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias("text"))
