@@ -58,3 +58,15 @@ def test_silhouettes_of_labellings(spark, passes):
         one = df.join(lab, ["g", "id"]).selectExpr("g", "id", "features", f"labels[{k}] AS label").where("label IS NOT NULL")
         for r in Q.silhouette(one, ["g"], block_size=16).collect():
             assert got[(r.g, k)] == (None if r.silhouette is None else pytest.approx(r.silhouette, rel=1e-9))
+
+
+def test_k_is_chosen_by_one_pass(spark, passes):
+    from parlance.clustering.kmeans import kmeans, kmeans_auto_k
+    _, df = _points(spark)
+    chosen, table = kmeans_auto_k(df, ["g"], (2, 3, 4), block_size=16)
+    got = {(r.g, r.k): r.silhouette for r in table.collect()}
+    assert len(passes) == 1 and len(got) == 6
+    for k in (2, 3, 4):
+        labels, _ = kmeans(df, k, ["g"])
+        for r in Q.silhouette(df.join(labels, ["g", "id"]), ["g"], block_size=16).collect():
+            assert got[(r.g, k)] == pytest.approx(r.silhouette, rel=1e-9)
