@@ -8,6 +8,9 @@ the Laplacian I − M.  A block of ``BLOCK`` vectors a group, one array a point,
   the block and a partial sum a point, chained in one plan, so that the edges are shuffled once a round;
 * Rayleigh–Ritz: the block's Gram matrices are one summed row a group, solved by group, and the rotation is joined back.
 
+A block of up to ``SENT_NUMBERS`` numbers goes through the same rounds on the driver, only M lies with the tasks: a product sends them the block and
+brings its image back (``_sent_eigenvectors``).
+
 Rounds end when the residuals |Mx − θx| of the wanted vectors are below ``tol``, or at ``max_rounds`` with a warning.  The rows of the first k
 vectors, divided by the root of the degree, are clustered for every k of ``ks`` at once, and the k of the highest silhouette of the points
 themselves is kept (the smallest on ties).
@@ -18,11 +21,13 @@ k-th eigenvalue is (nearly) equal to the next, the vectors of that value are any
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -31,12 +36,15 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import RANDOM_SEED
 from ..operators import neighbours as NB
 from ..operators import pairs as PK
+from ..operators.order import with_positions
 from ..session import cut_lineage, release
 from . import kmeans as KM
 from . import small_groups as SG
 
 NEIGHBOURS, GAMMA, KS = 10, 1.0, (2, 3, 4)
 BLOCK, DEGREE, MAX_ROUNDS, TOL = 16, 8, 60, 1e-4
+SENT_NUMBERS = 1 << 24       # of a block that is sent to the tasks in every product: 128 MB
+STRIP_ROWS = 1 << 15         # rows of M that lie together
 DEPENDENT = 1e-10            # of a normalised Gram matrix: a direction below is not independent of the others
 
 
@@ -119,6 +127,8 @@ def eigenvectors(m: DataFrame, degrees: DataFrame, group_cols: Sequence[str], wa
                  max_rounds: int = MAX_ROUNDS, tol: float = TOL, seed: int = RANDOM_SEED) -> DataFrame:
     """(*group, id, x array of the ``wanted`` leading eigenvectors' entries, theta array of their eigenvalues)."""
     g = list(group_cols)
+    if degrees.count() * size <= SENT_NUMBERS:
+        return _sent_eigenvectors(m, degrees, g, wanted, size, degree, max_rounds, tol, seed)
     m = cut_lineage(with_own(m, degrees, g))
     # the root of the degrees is the leading vector of a connected graph; the others begin with hashes of the id
     start = F.array(F.sqrt("degree"), *[F.xxhash64(F.col("id"), F.lit(seed + c)) / F.lit(2.0 ** 63) for c in range(1, size)])
@@ -145,6 +155,90 @@ def eigenvectors(m: DataFrame, degrees: DataFrame, group_cols: Sequence[str], wa
     return _turn(state, turns, g, size).select(*g, "id", F.slice("x", 1, wanted).alias("x"), F.slice("theta", 1, wanted).alias("theta"))
 
 
+def _sent_eigenvectors(m: DataFrame, degrees: DataFrame, g: list, wanted: int, size: int, degree: int, max_rounds: int, tol: float, seed: int) -> DataFrame:
+    """The rounds of ``eigenvectors`` with the block on the driver; an id of several rows is one row of the block."""
+    spark = degrees.sparkSession
+    sc = spark.sparkContext
+    start = F.array(F.sqrt("degree"), *[F.xxhash64(F.col("id"), F.lit(seed + c)) / F.lit(2.0 ** 63) for c in range(1, size)])
+    rows = degrees.dropna(subset=[*g, "id"]).groupBy(*g, "id").agg(F.first("degree").alias("degree"), F.count(F.lit(1)).cast("double").alias("_c"))
+    rows = cut_lineage(with_positions(rows, [*g, "id"], "_p"))
+    at = sorted((r["_lo"], r["_n"]) for r in rows.groupBy(*g).agg(F.min("_p").alias("_lo"), F.count(F.lit(1)).alias("_n")).collect())
+    n = sum(k for _, k in at)
+
+    def packed(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"p": [pdf["_p"].to_numpy(np.int64).tobytes()], "c": [pdf["_c"].to_numpy(float).tobytes()],
+                                "y": [np.array(pdf["y"].tolist(), float).tobytes()]})
+    block, times_ = np.zeros((n, size)), np.zeros(n)
+    for r in rows.select("_p", "_c", start.alias("y")).mapInPandas(packed, "p binary, c binary, y binary").toLocalIterator():
+        p = np.frombuffer(r["p"], np.int64)
+        block[p], times_[p] = np.frombuffer(r["y"]).reshape(-1, size), np.frombuffer(r["c"])
+    own = max(1, min(STRIP_ROWS, -(-n // (2 * sc.defaultParallelism))))
+    place = rows.select(*g, "id", "_p")
+    entries = (m.join(place.withColumnsRenamed({"id": "i", "_p": "_r"}), [*g, "i"]).join(place.withColumnsRenamed({"id": "j", "_p": "_k"}), [*g, "j"])
+               .select(F.floor(F.col("_r") / own).alias("_s"), "_r", "_k", "m"))
+
+    def strip(key, pdf):
+        pdf = pdf.sort_values(["_r", "_k"], kind="stable")
+        first = int(key[0]) * own
+        part = (first, min(own, n - first), (pdf["_r"].to_numpy() - first).astype(np.int32), pdf["_k"].to_numpy(np.int64), pdf["m"].to_numpy(float))
+        return pd.DataFrame({"strip": [pickle.dumps(part, protocol=5)]})
+    strips = (entries.groupBy("_s").applyInPandas(strip, "strip binary").rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        sent, out = sc.broadcast(np.ascontiguousarray(x.T)), np.zeros(x.shape)
+
+        def image(part):
+            first, length, row, col, value = part
+            return first, np.stack([np.bincount(row, value * column[col], length) for column in sent.value], axis=1)
+        for first, found in strips.map(image).collect():
+            out[first:first + len(found)] = found
+        sent.destroy()
+        return out
+
+    def turns():
+        out = []
+        for lo, k in at:
+            y, my = block[lo:lo + k], moved[lo:lo + k]
+            out.append(ritz(np.concatenate([(y.T @ y).ravel(), (y.T @ my).ravel(), (my.T @ my).ravel()]), size))
+        return out
+    moved = product(block * times_[:, None])
+    solved = turns()
+    for _ in range(max_rounds):
+        if not at or max(rest[:wanted].max() for _, _, rest in solved) <= tol:
+            break
+        t0, p, q = np.empty((n, size)), np.empty((n, 1)), np.empty((n, 1))
+        for (lo, k), (rotation, theta, _) in zip(at, solved):
+            cut = max(theta[-1], -0.5)
+            t0[lo:lo + k], p[lo:lo + k], q[lo:lo + k] = block[lo:lo + k] @ rotation, 2 / (1 + cut), (1 - cut) / (1 + cut)
+        t1 = p * product(t0) + q * t0
+        for _ in range(degree - 1):
+            t0, t1 = t1, 2 * (p * product(t1) + q * t1) - t0
+        block = t1
+        moved = product(block)
+        solved = turns()
+    else:
+        warnings.warn(f"spectral: residuals above {tol} after {max_rounds} rounds")
+    strips.unpersist()
+    starts = np.array([lo for lo, _ in at], np.int64)
+    vectors = np.empty((n, min(wanted, size)))
+    for (lo, k), (rotation, _, _) in zip(at, solved):
+        vectors[lo:lo + k] = (block[lo:lo + k] @ rotation)[:, :wanted]
+    sent = sc.broadcast((vectors, [theta[:wanted].tolist() for _, theta, _ in solved]))
+
+    def named(batches):
+        vectors, thetas = sent.value
+        for pdf in batches:
+            p = pdf.pop("_p").to_numpy(np.int64)
+            yield pdf.assign(x=list(vectors[p]), theta=[thetas[k] for k in np.searchsorted(starts, p, "right") - 1])
+    kinds = dict(rows.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in g) + f"id {kinds['id']}, x array<double>, theta array<double>"
+    out = cut_lineage(rows.select(*g, "id", "_p").mapInPandas(named, schema))
+    sent.destroy()
+    release(rows)
+    return out
+
+
 def _turn(state: DataFrame, turns: DataFrame, g: list, size: int) -> DataFrame:
     column = lambda c: F.aggregate(F.zip_with("y", F.slice("rot", c * size + 1, size), lambda u, v: u * v),
                                    F.lit(0.0), lambda acc, v: acc + v)
@@ -166,14 +260,19 @@ def embedding(points: DataFrame, group_cols: Sequence[str] = (), wanted: int = m
 def spectral(points: DataFrame, group_cols: Sequence[str] = (), ks: Sequence[int] = KS, neighbours: int = NEIGHBOURS, gamma: float = GAMMA,
              seed: int = RANDOM_SEED, block_size: int = PK.WIDE_BLOCK_SIZE) -> DataFrame:
     """(*group, id, label), the best k of ``ks`` by the silhouette of the points."""
-    from ..operators.quality import silhouette
+    from ..operators.quality import silhouettes
     pts, g = PK.ensure_group(points.select(*group_cols, "id", "features"), group_cols)
-    pts = cut_lineage(pts)
+    pts, ks = cut_lineage(pts), [int(k) for k in ks]
     rows = cut_lineage(embedding(pts, g, max(ks), neighbours, gamma, block_size))
-    multi = rows.select(*g, "id", "x", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    multi = rows.select(*g, "id", "x", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     labels, _ = KM.kmeans(multi.select(*g, "k", "id", F.slice("x", 1, F.col("k")).alias("features")), "k", [*g, "k"], seed)
     labels = cut_lineage(labels.select(*g, "k", "id", "label"))
-    scores = silhouette(pts.join(labels, [*g, "id"]), [*g, "k"], block_size=block_size)
+    # one row a point with its labels for all k: the silhouettes share one pair pass
+    nth = Window.partitionBy(*g, "k", "id").orderBy("label")
+    own = (labels.withColumn("_r", F.row_number().over(nth)).groupBy(*g, "id", "_r")
+           .agg(F.array(*[F.max(F.when(F.col("k") == k, F.col("label"))) for k in ks]).alias("labels")).drop("_r"))
+    scores = silhouettes(pts.join(own, [*g, "id"]), len(ks), g, block_size=block_size)
+    scores = scores.select(*g, F.array(*[F.lit(k) for k in ks])[F.col("labelling")].alias("k"), "silhouette")
     first = Window.partitionBy(*g).orderBy(F.desc_nulls_last("silhouette"), "k")          # a row a k
     best = scores.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*g, "k")
     out = labels.join(best, [*g, "k"]).select(*g, "id", F.col("label").cast("int"))
